@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, packing, topk, toxicity
+from . import bpe, chunk_dedup, exact_dedup, language, packing, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language.query,
         "op3_toxicity": toxicity.query,
+        "op5_suffix_dedup": suffix_dedup.query,
+        "op6_chunk_dedup": chunk_dedup.query,
         "op7_exact_dedup": exact_dedup.query,
         "op8_bpe": bpe.query,
         "op9_exact_top_k": topk.query,
