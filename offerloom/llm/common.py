@@ -82,6 +82,30 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         start = stop
 
 
+#: A key is hot if its group holds more than 1 / HOT_SHARE of all rows; so at most HOT_SHARE
+#: keys are hot, which bounds the only table that :func:`attach` broadcasts.
+HOT_SHARE = 4096
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, name: str, row: tuple[str, ...]) -> DataFrame:
+    """Left-join ``right`` (one row per ``key``) as a struct column ``name``, by sort-merge.
+
+    ``right[weight]`` is the number of left rows of the key, ``total`` the sum of all. Rows of
+    hot keys meet their match by broadcast; in the sort-merge join they carry a key made from
+    the columns ``row``, which matches nothing and spreads them over all tasks.
+    """
+    fields = [c for c in right.columns if c != key]
+    kind = right.schema[key].dataType
+    hot = right.where(F.col(weight) * HOT_SHARE > total).select(F.col(key).alias("__hot"), F.struct(*fields).alias("__h"))
+    got = left.join(F.broadcast(hot), left[key] == F.col("__hot"), "left")
+    spread = F.xxhash64(*row)
+    spread = F.unhex(F.hex(spread)) if kind.simpleString() == "binary" else spread
+    got = got.withColumn("__key", F.when(F.col("__h").isNotNull(), spread).otherwise(F.col(key)))
+    cold = right.select(F.col(key).alias("__cold"), F.struct(*fields).alias("__c")).hint("merge")
+    got = got.join(cold, got["__key"] == F.col("__cold"), "left")
+    return got.withColumn(name, F.coalesce("__h", "__c")).drop("__hot", "__h", "__key", "__cold", "__c")
+
+
 # -- hashing ------------------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1

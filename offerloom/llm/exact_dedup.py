@@ -12,11 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, scratch_dir, staged
-
-#: A digest is hot if its group holds more than 1 / HOT_SHARE of all rows; so at most
-#: HOT_SHARE digests are hot, which bounds the only table that is broadcast.
-HOT_SHARE = 4096
+from .common import attach, ids_and_texts, scratch_dir, staged
 
 COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, group_size BIGINT, run STRING"
 
@@ -73,14 +69,7 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     index.append(found, run)
     known = index.table()
     total = known.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    hot = known.where(F.col("group_size") * HOT_SHARE > total)
-    keeper = F.struct("keep_id", "keep_row", "group_size", "run")
-    # Rows of a hot group meet their keeper by broadcast; in the sort-merge join they get a key
-    # of their own, which matches nothing and spreads them over all tasks.
-    left = found.join(F.broadcast(hot.select("digest", keeper.alias("h"))), "digest", "left")
-    left = left.withColumn("key", F.when(F.col("h").isNotNull(), F.unhex(F.hex(F.xxhash64("doc_id", "row")))).otherwise(F.col("digest")))
-    right = known.select(F.col("digest").alias("key"), keeper.alias("c")).hint("merge")
-    joined = left.join(right, "key", "left").withColumn("k", F.coalesce("h", "c"))
+    joined = attach(found, known, "digest", "group_size", total, "k", ("doc_id", "row"))
     kept = (F.col("k.run") == run) & (F.col("k.keep_row") == F.col("row"))
     return joined.select("doc_id", "row", F.col("k.keep_id").alias("keep_id"), F.col("k.group_size").alias("group_size"), kept.alias("kept"), "digest")
 

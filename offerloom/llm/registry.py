@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, exact_dedup, language, packing, suffix_dedup, topk, toxicity
+from . import bpe, chunk_dedup, exact_dedup, jaccard, language, packing, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language.query,
+        "op2_jaccard_join": jaccard.query,
         "op3_toxicity": toxicity.query,
         "op5_suffix_dedup": suffix_dedup.query,
         "op6_chunk_dedup": chunk_dedup.query,
