@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "/tmp/checkpoints/offerloom"
 
 #: Text bytes handled at once inside an Arrow task; bounds the memory of a Python worker.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:

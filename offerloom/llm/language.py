@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, mix, slices, small_batches, text_buffer
+from .common import ids_and_texts, mix, slices, small_batches, staged, text_buffer
 
 UNKNOWN = "und"
 #: Documents that the filters are learnt from, about, chosen by a hash of doc_id.
@@ -66,7 +66,7 @@ class Filters:
     """Learnt state, of a size that the parameters bound."""
 
     languages: list[str]
-    table: np.ndarray  # (positions, words) masks of 64 languages each
+    table: np.ndarray  # (positions, bytes) masks of 8 languages each
     chance: np.ndarray  # probability that a language's filter says yes to a foreign n-gram
 
     def positions(self, codes: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ class Filters:
         mask = self.containing(code)
         share = np.zeros((rows, len(self.languages)))
         for k in range(len(self.languages)):
-            hits = np.bincount(row[(mask[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1) > 0], minlength=rows)
+            hits = np.bincount(row[(mask[:, k // 8] >> np.uint8(k % 8)) & np.uint8(1) > 0], minlength=rows)
             share[:, k] = np.maximum(0.0, hits - total * self.chance[k]) / max(1e-9, 1 - self.chance[k])
         best = share.argmax(axis=1)
         all_ = share.sum(axis=1)
@@ -108,10 +108,10 @@ def build(languages: list[str], sets: list[np.ndarray]) -> Filters:
     """Filters of the given n-gram codes; the most frequent language comes first, for ties."""
     most = max((len(s) for s in sets), default=0)
     size = max(64, most * BITS_PER_GRAM)
-    found = Filters(languages, np.zeros((size, max(1, -(-len(languages) // 64))), np.uint64), np.zeros(len(languages)))
+    found = Filters(languages, np.zeros((size, max(1, -(-len(languages) // 8))), np.uint8), np.zeros(len(languages)))
     for k, codes in enumerate(sets):
         p = np.unique(found.positions(codes))
-        found.table[p, k // 64] |= np.uint64(1) << np.uint64(k % 64)
+        found.table[p, k // 8] |= np.uint8(1 << k % 8)
         found.chance[k] = (len(p) / size) ** HASHES
     return found
 
@@ -143,21 +143,19 @@ def train(docs: DataFrame) -> Filters:
                 both, times = np.unique(number[row] << 32 | code.astype(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in both >> 32], pa.string()), pa.array(both & 0xFFFFFFFF), pa.array(times.astype(np.int64))], names=["lang", "code", "times"])
 
-    # A language with few rows must not count as one whose every n-gram is common, so shares
-    # are smoothed by one occurrence.
-    per = rows.mapInArrow(count, "lang string, code long, times long").groupBy("lang", "code").agg(F.sum("times").alias("times")).cache()
+    per = staged(rows.mapInArrow(count, "lang string, code long, times long").groupBy("lang", "code").agg(F.sum("times").alias("times")), "language-grams")
     totals = {r[0]: r[1] for r in per.groupBy("lang").agg(F.sum("times")).collect()}
+    if not totals:
+        return build([], [])
     languages = sorted(totals, key=lambda x: (-totals[x], x))
-    all_of = F.create_map(*[F.lit(v) for x in totals.items() for v in x]) if totals else None
+    all_of = F.create_map(*[F.lit(v) for x in totals.items() for v in x])
+    part = per.withColumn("share", F.col("times") / all_of[F.col("lang")])
+    most = part.groupBy("code").agg(F.max("share").alias("most"))
+    chosen = staged(part.join(most, "code").where((F.col("times") >= 2) & (F.col("share") >= SHARE * F.col("most"))).select("lang", "code", "times"), "language-sets")
     sets = []
-    if totals:
-        part = per.withColumn("share", F.col("times") / all_of[F.col("lang")])
-        most = part.groupBy("code").agg(F.max("share").alias("most"))
-        chosen = part.join(most, "code").where((F.col("times") >= 2) & (F.col("share") >= SHARE * F.col("most")))
-        for lang in languages:
-            top = chosen.where(F.col("lang") == lang).orderBy(F.desc("times"), "code").limit(GRAMS)
-            sets.append(np.array([r[0] for r in top.select("code").collect()], np.int64))
-    per.unpersist()
+    for lang in languages:
+        top = chosen.where(F.col("lang") == lang).orderBy(F.desc("times"), "code").limit(GRAMS)
+        sets.append(np.array([r[0] for r in top.select("code").collect()], np.int64))
     return build(languages, sets)
 
 
