@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, exact_dedup, jaccard, language, packing, suffix_dedup, topk, toxicity
+from . import bpe, chunk_dedup, exact_dedup, jaccard, language, line_dedup, packing, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": language.query,
         "op2_jaccard_join": jaccard.query,
         "op3_toxicity": toxicity.query,
+        "op4_line_dedup": line_dedup.query,
         "op5_suffix_dedup": suffix_dedup.query,
         "op6_chunk_dedup": chunk_dedup.query,
         "op7_exact_dedup": exact_dedup.query,
