@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import warehouse
+from . import text, warehouse
 
-MODULES = [warehouse]
+MODULES = [warehouse, text]
 
 
 def queries() -> dict:
