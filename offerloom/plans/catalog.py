@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import text, warehouse
+from . import pages, text, warehouse
 
-MODULES = [warehouse, text]
+MODULES = [warehouse, text, pages]
 
 
 def queries() -> dict:
