@@ -142,7 +142,21 @@ def fit(model_words: np.ndarray, row: np.ndarray, at: np.ndarray, label: np.ndar
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights, offset = weights - move[:f], offset - move[f]
-    return Model(model_words, weights, float(offset))
+    z = offset + np.bincount(row, weights[at], minlength=n)
+    return Model(model_words, weights, float(offset) - _cut(z, label))
+
+
+def _cut(z: np.ndarray, label: np.ndarray) -> float:
+    """The logit above which calling a row toxic makes the fewest errors, in the middle of its
+    gap; above all rows by a margin if that is best."""
+    level, where = np.unique(z, return_inverse=True)
+    bad = np.bincount(where, label, minlength=len(level))
+    all_ = np.bincount(where, minlength=len(level))
+    errors = np.concatenate([[0], np.cumsum(bad)]) + np.concatenate([np.cumsum((all_ - bad)[::-1])[::-1], [0]])
+    edges = np.concatenate([[level[0] - 4], level, [level[-1] + 4]])
+    best = np.flatnonzero(errors == errors.min())
+    k = best[np.argmax(edges[best + 1] - edges[best])]
+    return float((edges[k] + edges[k + 1]) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
