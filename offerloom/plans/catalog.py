@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pages, text, warehouse
+from . import pages, state, text, warehouse
 
-MODULES = [warehouse, text, pages]
+MODULES = [warehouse, text, pages, state]
 
 
 def queries() -> dict:
