@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pages, state, text, warehouse
+from . import pages, registry, state, text, warehouse
 
-MODULES = [warehouse, text, pages, state]
+MODULES = [warehouse, text, pages, state, registry]
 
 
 def queries() -> dict:
