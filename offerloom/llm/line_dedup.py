@@ -184,8 +184,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, doc_id long, k int")
 
 
+def sketches(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each line, which of 64 classes of byte pairs occur an odd number of times.
+
+    An edit takes away two pairs and adds two at most, so lines within ``EDITS`` edits differ in
+    4 * EDITS bits at most; unlike lines differ in about half of them.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64)
+    pair = data[:-1].astype(np.uint64) << np.uint64(8) | data[1:].astype(np.uint64)
+    bit = np.uint64(1) << (mix(pair) >> np.uint64(58))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bit)])
+    return (sums[stop - 1] ^ sums[start]).view(np.int64)
+
+
 def contents(docs: DataFrame) -> DataFrame:
-    """node and line (binary) of every line that takes part, once per slice."""
+    """node, line (binary) and sketch of every line that takes part, once per slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,9 +210,10 @@ def contents(docs: DataFrame) -> DataFrame:
                 node, once = np.unique(RangeHash(data)(start[big], stop[big]), return_index=True)
                 raw = data.tobytes()
                 text = [raw[a:b] for a, b in zip(start[big][once].tolist(), stop[big][once].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(text, pa.binary())], names=["node", "line"])
+                sketch = sketches(data, start[big][once], stop[big][once])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(text, pa.binary()), pa.array(sketch)], names=["node", "line", "sketch"])
 
-    return docs.mapInArrow(run, "node long, line binary")
+    return docs.mapInArrow(run, "node long, line binary, sketch long")
 
 
 def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -227,8 +242,10 @@ def classes(docs: DataFrame) -> DataFrame:
     release_shuffles(spark)
     known = staged(contents(docs).join(posts.select("node").distinct(), "node").dropDuplicates(["node"]), "lines")
     release_shuffles(spark)
-    leader = posts.where("own").groupBy("key").agg(F.min("node").alias("lead"))
-    met = posts.join(leader, "key").where("node <> lead")
+    posts = staged(posts.join(known.select("node", "sketch"), "node"), "line-posts")
+    alike = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 4 * EDITS
+    leader = posts.where("own").groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("l")).select("key", F.col("l.node").alias("lead"), F.col("l.sketch").alias("sketch2"))
+    met = posts.join(leader, "key").where((F.col("node") != F.col("lead")) & alike("sketch", "sketch2"))
     best = met.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "lead")).alias("best"))
     stars = staged(verified(best.select(F.col("node").alias("u"), F.col("best.lead").alias("v")), known), "line-stars")
     release_shuffles(spark)
@@ -236,12 +253,9 @@ def classes(docs: DataFrame) -> DataFrame:
     several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     open_ = staged(labelled.join(several, "key"), "open-lines")
     release_shuffles(spark)
-    groups = open_.groupBy("key", "root").agg(F.max("own").alias("own"))
-    other = groups.select("key", F.col("root").alias("root2"))
-    meet = groups.where("own").join(other, "key").where("root <> root2").select("key", "root", "root2")
-    left = open_.where("own").select("key", "root", F.col("node").alias("a"))
-    right = open_.select("key", F.col("root").alias("root2"), F.col("node").alias("b"))
-    across = meet.join(left, ["key", "root"]).join(right, ["key", "root2"])
+    left = open_.where("own").select("key", F.col("root").alias("root1"), F.col("node").alias("a"), "sketch")
+    right = open_.select("key", F.col("root").alias("root2"), F.col("node").alias("b"), F.col("sketch").alias("sketch2"))
+    across = left.join(right, "key").where((F.col("root1") != F.col("root2")) & alike("sketch", "sketch2"))
     pairs = staged(across.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "line-pairs")
     more = staged(verified(pairs, known), "line-links")
     release_shuffles(spark)
