@@ -33,7 +33,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _scratch[id(back)] = (back, path)
+    return back
+
+
+_scratch: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`staged` wrote, once nothing will read it again."""
+    back, path = _scratch.pop(id(df), (None, None))
+    if back is not None:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -19,14 +19,19 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, attach, ids_and_texts, lower_ascii, mix, release_shuffles, slices, small_batches, staged, text_buffer, word_spans
+from .common import RangeHash, attach, discard, ids_and_texts, lower_ascii, mix, release_shuffles, slices, small_batches, staged, text_buffer, word_spans
 from .components import components
 
 #: Counters of the frequency sketch that orders shingles (one long each when broadcast).
 SKETCH = 1 << 17
+#: Shingles that a prefix holds beyond what the plain prefix filter asks for; linked sets then
+#: share so many more, and most pairs need not look at crowded lists.
+EXTRA = 40
+#: A list of more nodes than this is crowded, and the neighbours that a node of one tries a round.
+CROWD, TRIES = 8, 12
 
 
 @dataclass(frozen=True)
@@ -76,6 +81,19 @@ class Measure:
         most = F.least(pos_, at_) + 1 + F.least(n_ - pos_ - 1, m_ - at_ - 1)
         return (F.least(n_, m_) * self.of >= F.greatest(n_, m_) * self.part) & (most * (self.part + self.of) >= (n_ + m_) * self.part)
 
+    def missing(self, n: str, m: str) -> Column:
+        """How many shingles two linked sets of sizes n and m share within both prefixes at least:
+        behind its prefix, the set whose prefix ends first holds only so many more."""
+        n_, m_ = F.col(n), F.col(m)
+        need = F.ceil((n_ + m_) * self.part / (self.part + self.of))
+        return need - F.greatest(F.lit(0), F.ceil(F.greatest(n_, m_) * self.part / self.of) - 1 - EXTRA)
+
+
+def fingerprints(shingle: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each set, whatever the order of its shingles."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle ^ np.uint64(0x2545F4914F6CDD1D)))])
+    return mix(sums[edge[1:]] - sums[edge[:-1]] + np.diff(edge).astype(np.uint64)).view(np.int64)
+
 
 def nodes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, np.ndarray]:
     """One pass over the texts: doc_id, n, node (fingerprint of the set) of every row, and the
@@ -88,9 +106,7 @@ def nodes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, np.ndarray]:
                 row, shingle = measure.shingles(*text_buffer(piece.column(1)))
                 counts += np.bincount((shingle >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
                 n = np.bincount(row, minlength=piece.num_rows)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle ^ np.uint64(0x2545F4914F6CDD1D)))])
-                edge = np.searchsorted(row, np.arange(piece.num_rows + 1))
-                node = mix(sums[edge[1:]] - sums[edge[:-1]] + n.astype(np.uint64)).view(np.int64)
+                node = fingerprints(shingle, np.searchsorted(row, np.arange(piece.num_rows + 1)))
                 none = pa.nulls(piece.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(node), none, none], names=names)
         hit = np.flatnonzero(counts)
@@ -123,32 +139,33 @@ def prefixes(docs: DataFrame, measure: Measure, sketch: np.ndarray) -> DataFrame
                 row, shingle = _ordered(measure, sketch, *text_buffer(piece.column(1)))
                 n = np.bincount(row, minlength=piece.num_rows)
                 edge = np.searchsorted(row, np.arange(piece.num_rows + 1))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle ^ np.uint64(0x2545F4914F6CDD1D)))])
-                node = mix(sums[edge[1:]] - sums[edge[:-1]] + n.astype(np.uint64)).view(np.int64)
+                node = fingerprints(shingle, edge)
                 fresh = np.array([not (x in met or met.add(x)) for x in node.tolist()], bool)
                 if len(met) > 1_000_000:
                     met.clear()
                 pos = np.arange(len(row)) - edge[row]
-                use = fresh[row] & (pos < (n - measure.least(n) + 1)[row])
+                use = fresh[row] & (pos < (n - measure.least(n) + 1 + EXTRA)[row])
                 r = row[use]
                 yield pa.RecordBatch.from_arrays([pa.array(shingle[use].view(np.int64)), pa.array(node[r]), pa.array(n[r].astype(np.int32)), pa.array(pos[use].astype(np.int32))], names=["token", "node", "n", "pos"])
 
     return docs.mapInArrow(run, "token long, node long, n int, pos int")
 
 
-def sets(docs: DataFrame, reps: DataFrame, measure: Measure, sketch: np.ndarray) -> DataFrame:
-    """node and its whole set (packed, rare first) for the nodes of ``reps`` (doc_id, node)."""
+def sets(docs: DataFrame, nodes_: DataFrame, reps: DataFrame, measure: Measure, sketch: np.ndarray) -> DataFrame:
+    """node and its whole set (packed) for ``nodes_``; ``reps`` names a document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                row, shingle = _ordered(measure, sketch, *text_buffer(piece.column(1)))
-                edge = np.searchsorted(row, np.arange(piece.num_rows + 1)).tolist()
-                raw = shingle.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays([piece.column(2), pa.array([raw[8 * a : 8 * b] for a, b in zip(edge, edge[1:])], pa.binary())], names=["node", "set"])
+                row, shingle = measure.shingles(*text_buffer(piece.column(1)))
+                edge = np.searchsorted(row, np.arange(piece.num_rows + 1))
+                same = fingerprints(shingle, edge) == np.asarray(piece.column(2))  # not so only where rows repeat a doc_id
+                raw, edge = shingle.astype("<u8").tobytes(), edge.tolist()
+                found = pa.RecordBatch.from_arrays([piece.column(2), pa.array([raw[8 * a : 8 * b] for a, b in zip(edge, edge[1:])], pa.binary())], names=["node", "set"])
+                yield found.filter(pa.array(same))
 
-    chosen = docs.join(reps, "doc_id").select("doc_id", "text", "node")
-    return chosen.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    chosen = docs.join(reps.join(nodes_, "node"), "doc_id").select("doc_id", "text", "node")
+    return chosen.mapInArrow(run, "node long, set binary")
 
 
 def suffix_allows(x: np.ndarray, y: np.ndarray, need: int, depth: int = 2) -> bool:
@@ -172,7 +189,7 @@ def verified(pairs: DataFrame, known: DataFrame, measure: Measure) -> DataFrame:
         for batch in batches:
             good = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = np.sort(np.frombuffer(a.as_buffer(), "<u8")), np.sort(np.frombuffer(b.as_buffer(), "<u8"))
+                x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
                 need = measure.overlap(len(x), len(y))
                 good.append(suffix_allows(x, y, need) and len(np.intersect1d(x, y, assume_unique=True)) >= need)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
@@ -186,13 +203,20 @@ def links(docs: DataFrame, found: DataFrame, sketch: np.ndarray, measure: Measur
     """node and root of all nodes that have a link."""
     spark = docs.sparkSession
     first = staged(prefixes(docs, measure, sketch), "prefixes")
-    lists = first.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
+    lists = first.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token", (F.col("size") > CROWD).alias("crowded"))
     posts = staged(first.join(lists, "token").dropDuplicates(["token", "node"]), "posts")
+    discard(first)
     release_shuffles(spark)
-    involved = posts.select("node").distinct()
-    reps = found.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(involved, "node")
-    known = staged(sets(docs, reps, measure, sketch), "sets")
-    release_shuffles(spark)
+    reps = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        known = staged(sets(docs, ends, reps, measure, sketch), f"{name}-sets")
+        release_shuffles(spark)
+        out = staged(verified(pairs, known, measure), name)
+        discard(known)
+        release_shuffles(spark)
+        return out
 
     # Leaders: of each list and length band, the smallest node; bands keep lengths comparable.
     band = F.floor(F.log(F.col("n")) / F.lit(log(measure.of / measure.part))).cast("int")
@@ -200,29 +224,68 @@ def links(docs: DataFrame, found: DataFrame, sketch: np.ndarray, measure: Measur
     leader = banded.groupBy("token", "band").agg(F.min(F.struct("n", "node", "pos")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     met = banded.join(leader, ["token", "band"]).select("node", "n", "pos", F.col("lead.node").alias("m_node"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at"))
     met = met.where((F.col("node") != F.col("m_node")) & measure.possible("n", "pos", "m", "at"))
-    best = met.groupBy("node", "m_node").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "m_node")).alias("best"))
-    stars = staged(verified(best.select(F.col("node").alias("u"), F.col("best.m_node").alias("v")), known, measure), "stars")
+    shared = met.groupBy("node", "m_node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    # Other leaders may hold part of what a pair shares, so a third of it is enough here.
+    best = shared.where(F.col("c") * 3 >= measure.missing("n", "m")).groupBy("node").agg(F.max(F.struct("c", "m_node")).alias("best"))
+    stars = check(staged(best.select(F.col("node").alias("u"), F.col("best.m_node").alias("v")), "leaders"), "stars")
+
+    # Across: nodes of different components in one list. ``h`` is how many crowded lists a node is in.
+    # ``s`` is how many of them begin with this one, in the order of shingles: sets that crowded
+    # lists alone link share enough of them from their first common one on.
+    whole = Window.partitionBy("node")
+    rest = whole.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = F.col("crowded").cast("int")
+    counted = staged(posts.withColumns({"h": F.sum(one).over(whole), "s": F.sum(one).over(rest)}), "counted-posts")
+    discard(posts)
     release_shuffles(spark)
-    roots = components(stars)
 
-    # Across: nodes of different components in one list.
-    labelled = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    open_ = staged(labelled.join(several, "token"), "open-posts")
-    release_shuffles(spark)
-    # Which components meet in a list, with the range of sizes, so that unlike lengths never meet.
-    groups = open_.groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = groups.select("token", F.col("root").alias("root2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    comparable = (F.col("hi") * measure.of >= F.col("lo2") * measure.part) & (F.col("hi2") * measure.of >= F.col("lo") * measure.part)
-    meet = groups.join(other, "token").where((F.col("root") < F.col("root2")) & comparable).select("token", "root", "root2")
-    left = open_.select("token", "root", F.col("node").alias("u"), "n", "pos")
-    right = open_.select("token", F.col("root").alias("root2"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("pos").alias("at"))
-    across = meet.join(left, ["token", "root"]).join(right, ["token", "root2"]).where(measure.possible("n", "pos", "m", "at"))
-    pairs = staged(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    release_shuffles(spark)
-    more = staged(verified(pairs, known, measure), "links")
-    release_shuffles(spark)
-    return components(stars.unionByName(more))
+    def still_open(found_links: DataFrame) -> DataFrame:
+        """Lists in which several components meet, with the components."""
+        labelled = counted.join(components(found_links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+        return staged(labelled.join(several, "token"), "open-posts")
+
+    # A crowd may be alike without being like its leader. So each node of a crowded list also
+    # tries its neighbour in an order that differs from list to list, TRIES of them per round, as
+    # long as that still joins a good part of the components that are left.
+    edges, open_, turn = stars, still_open(stars), 0
+    while True:
+        turn += 1
+        order = Window.partitionBy("token").orderBy(F.xxhash64("node", "token", F.lit(turn)))
+        beside = open_.where("crowded").withColumn("x", F.lead(F.struct(F.col("node").alias("v"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("h").alias("h2"), F.col("root").alias("root2"))).over(order))
+        beside = beside.select(F.col("node").alias("u"), "n", "pos", "h", "root", "x.*").where((F.col("root") != F.col("root2")) & measure.possible("n", "pos", "m", "at") & (F.least("h", "h2") >= measure.missing("n", "m")))
+        tried = beside.select("u", "v").distinct().withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v")))).where(F.col("k") <= TRIES)
+        tried = staged(tried.select("u", "v"), "neighbours")
+        asked = tried.select("u").distinct().count()
+        if not asked:
+            break
+        joined = check(tried, "neighbour-links")
+        edges = staged(edges.unionByName(joined), "links-so-far")
+        discard(open_)
+        open_ = still_open(edges)
+        if joined.select("u").distinct().count() * 10 < asked:
+            break
+    member = open_.select("token", "crowded", "root", F.col("node").alias("u"), "n", "pos", "h", "s")
+    other = open_.select("token", "crowded", F.col("root").alias("root2"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("h").alias("h2"), F.col("s").alias("s2"))
+    fits = measure.possible("n", "pos", "m", "at")
+    enough = F.least("s", "s2") >= measure.missing("n", "m")
+    light = member.where("NOT crowded").join(other.where("NOT crowded").drop("crowded"), "token").where((F.col("root") < F.col("root2")) & fits)
+    # In a crowded list only nodes meet that crowded lists alone could link: first their sizes,
+    # then their components, then they themselves.
+    sizes = open_.where("crowded").groupBy("token", "n").agg(F.max("s").alias("s"))
+    sizes2 = sizes.select("token", F.col("n").alias("m"), F.col("s").alias("s2"))
+    near = (F.col("n") <= F.col("m")) & (F.col("n") * measure.of >= F.col("m") * measure.part)
+    spans = sizes.join(sizes2, "token").where(near & enough).select("token", "n", "m")
+    groups = open_.where("crowded").groupBy("token", "n", "root").agg(F.max("s").alias("s"))
+    groups2 = groups.select("token", F.col("n").alias("m"), F.col("root").alias("root2"), F.col("s").alias("s2"))
+    meet = spans.join(groups, ["token", "n"]).join(groups2, ["token", "m"]).where((F.col("root") != F.col("root2")) & enough).select("token", "n", "root", "m", "root2")
+    heavy = meet.join(member.where("crowded"), ["token", "n", "root"]).join(other.where("crowded").drop("crowded"), ["token", "m", "root2"]).where(fits & enough)
+    columns = ["u", "v", "n", "m", "h", "h2", "crowded"]
+    met = light.select(*columns).unionByName(heavy.select(*columns))
+    c = F.count_if(~F.col("crowded")).alias("c")
+    pairs = met.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(c, F.first("n").alias("n"), F.first("m").alias("m"), F.first("h").alias("h"), F.first("h2").alias("h2"))
+    more = check(staged(pairs.where(F.col("c") + F.least("h", "h2") >= measure.missing("n", "m")).select("u", "v"), "pairs"), "links")
+    return components(edges.unionByName(more))
 
 
 def join(docs: DataFrame, measure: Measure) -> DataFrame:
