@@ -50,6 +50,16 @@ def claim_outcomes(spark, d):
     return got.select("item_id", F.col("reviewer_id").alias("reviewer"), "outcome")
 
 
+@query(f"""SELECT item_id, reviewer, CASE WHEN l.reviewer_id IS NULL THEN 'claimed' WHEN active AND l.reviewer_id = reviewer THEN 'already_held' WHEN active THEN 'refused' WHEN l.reviewer_id = reviewer THEN 'claimed' ELSE 'taken_over' END AS outcome
+FROM (SELECT DISTINCT user_id AS item_id, user_id % 5 AS reviewer FROM events) r LEFT JOIN (SELECT *, action IN ('claimed', 'renewed', 'taken_over') AND seen + INTERVAL 6 HOUR > TIMESTAMP '{_NOW}' AS active FROM ({_LATEST})) l USING (item_id)""")
+def claim_outcomes_of_users(spark, d):
+    """A claim for every user of events, where claim_outcomes asks for the ids 0 to 199."""
+    users = table(spark, d, "events").select(F.col("user_id").alias("item_id")).distinct()
+    requests = users.select(F.lit("job").alias("job_id"), "item_id", F.pmod("item_id", F.lit(5)).alias("reviewer_id"))
+    got = state.claim(requests, _leases(spark, d), F.lit(_NOW).cast("timestamp"), F.expr("INTERVAL 15 MINUTES"))
+    return got.select("item_id", F.col("reviewer_id").alias("reviewer"), "outcome")
+
+
 @query(f"SELECT DISTINCT user_id AS item_id FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT item_id FROM ({_LATEST}) WHERE action IN ('claimed', 'renewed', 'taken_over') AND seen + INTERVAL 6 HOUR > TIMESTAMP '{_NOW}')")
 def pending_review(spark, d):
     results = table(spark, d, "events").where("event_type = 'purchase'").select(F.lit("job").alias("job_id"), F.col("user_id").alias("item_id"), F.lit("needs_review").alias("status")).distinct()

@@ -237,6 +237,23 @@ def job_status(spark, d):
     return sc.job_status(rows, "user_id")
 
 
+# record_status and job_status read a slice of events, as their SQL says; these two read every row.
+# By user alone each would have one status only, so they group by user and day.
+_DAILY = "SELECT user_id, CAST(ts AS DATE) AS day, {0} AS s FROM events"
+
+
+@query(f"SELECT user_id, day, CASE WHEN bool_or(s = 'rejected') THEN 'rejected' WHEN bool_or(s = 'unresolved') THEN 'incomplete' WHEN bool_or(s = 'needs_confirmation') THEN 'needs_confirmation' ELSE 'ready' END AS record_status FROM ({_DAILY.format(_STATUS)}) GROUP BY 1, 2")
+def record_status_by_day(spark, d):
+    rows = table(spark, d, "events").select(F.struct("user_id", F.to_date("ts").alias("day")).alias("k"), F.expr(_STATUS).alias("status"))
+    return sc.record_status(rows, "k").select("k.user_id", "k.day", "record_status")
+
+
+@query(f"SELECT user_id, day, CASE WHEN bool_or(s = 'failed') THEN 'completed_with_failures' WHEN bool_or(s = 'needs_review') THEN 'needs_attention' ELSE 'succeeded' END AS job_status FROM ({_DAILY.format(_JOB)}) GROUP BY 1, 2")
+def job_status_by_day(spark, d):
+    rows = table(spark, d, "events").select(F.struct("user_id", F.to_date("ts").alias("day")).alias("k"), F.expr(_JOB).alias("status"))
+    return sc.job_status(rows, "k").select("k.user_id", "k.day", "job_status")
+
+
 @query("""SELECT user_id, count(*) FILTER (event_type = 'error') AS unresolved, count(*) FILTER (event_type = 'view') AS review, (count(*) FILTER (event_type = 'error'), count(*) FILTER (event_type = 'view')) < (count(*) FILTER (event_type = 'signup'), count(*) FILTER (event_type = 'click')) AS better FROM events GROUP BY 1""")
 def extraction_quality_rank(spark, d):
     n = lambda t: F.count_if(F.col("event_type") == t)
