@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id holds are cut; n_chars follows."""
-    left = chunk_dedup.dedup(docs).drop("__dedup")
+    left = chunk_dedup.dedup(docs, grow=True).drop("__dedup")
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

@@ -4,10 +4,15 @@ A gear hash rolls over the text; where its top bits are zero a chunk ends, so cu
 the nearby bytes only and an insertion shifts no cut beyond its own chunk. Chunks are known by
 a 128-bit digest. A chunk that a document with a smaller id holds too is repeated; repeated
 chunks in a row that make up a passage are removed.
+
+A passage is shared before its first cut and after its last one too. So chunks may serve as
+anchors only: each end of a run is compared with the text at the same chunk in the document that
+holds it first, and the run grows by the bytes that agree.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, ids_and_texts, mix, release_shuffles, slices, small_batches, staged, text_buffer
+from .common import RangeHash, discard, ids_and_texts, mix, release_shuffles, slices, small_batches, staged, text_buffer
 
 #: Shortest and longest chunk in bytes, and the bits that must be zero for a cut (so chunks are
 #: about LEAST + 2 ** BITS bytes long). A cut depends on the 32 bytes before it.
 LEAST, MOST, BITS = 16, 512, 5
+#: Places without a cut after which the first smallest hash among them cuts, so text of a short
+#: period is cut at the same phase wherever it stands.
+QUIET = 64
+#: Bytes before and after a chunk in which the text around it is compared.
+BEFORE, AFTER = 256, 128
 #: Bytes of repeated chunks in a row that make a passage; shorter repeats are chance phrases.
 PASSAGE = 128
 
@@ -40,7 +50,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(data)
     letter_start = np.ones(n + 1, bool)
     letter_start[:n] = (data & 0xC0) != 0x80
-    cut = np.flatnonzero((gear(data) >> np.uint32(32 - BITS)) == 0) + 1 if n else np.zeros(0, np.int64)
+    hashed = gear(data)
+    cut = np.flatnonzero((hashed >> np.uint32(32 - BITS)) == 0) + 1 if n else np.zeros(0, np.int64)
     cut = cut[letter_start[cut]].tolist()
     start, row = [], []
     at, total = 0, len(cut)
@@ -56,6 +67,11 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
             while at < total and cut[at] < soonest:
                 at += 1
             stop = cut[at] if at < total else b
+            if min(stop, b) - soonest >= QUIET:
+                ends = np.arange(soonest, soonest + QUIET)
+                ends = ends[letter_start[ends]]
+                if len(ends):
+                    stop = int(ends[np.argmin(hashed[ends - 1])])
             if stop - a > MOST and b - a > MOST:
                 stop = a + MOST
                 while not letter_start[stop]:
@@ -89,8 +105,9 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "a long, b long, doc_id long, k int")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, k, first_doc of every chunk that a document with a smaller id holds too.
+def repeated_chunks(docs: DataFrame, first_too: bool = False) -> DataFrame:
+    """doc_id, k, first_doc of every chunk that a document with a smaller id holds too; with
+    ``first_too`` also of the chunks in the document that holds them first.
 
     Copies are first reduced to one row per digest, map-side, so a chunk that a third of all
     documents share costs no more than any other; the digests that are repeated, a small part,
@@ -101,8 +118,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     held = chunk_rows(docs).groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     repeated = staged(held.where("first_doc < last_doc").drop("last_doc"), "repeated-chunks")
     release_shuffles(docs.sparkSession)
-    rows = chunk_rows(docs).join(repeated, ["a", "b"]).where("doc_id > first_doc").select("doc_id", "k", "first_doc")
+    rows = chunk_rows(docs).join(repeated, ["a", "b"]).where("doc_id >= first_doc" if first_too else "doc_id > first_doc").select("doc_id", "k", "first_doc")
     out = staged(rows, "chunk-marks")
+    discard(repeated)
     release_shuffles(docs.sparkSession)
     return out
 
@@ -116,17 +134,133 @@ def passages(start: np.ndarray, stop: np.ndarray, marked: np.ndarray) -> list[tu
     return [(a, b) for a, b in runs if b - a >= PASSAGE]
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def _around(whole: bytes, a: int, b: int, start: int, stop: int) -> tuple[bytes, bytes]:
+    """The bytes before a chunk, last one first, and those after it, within the text a to b."""
+    return whole[max(a, start - BEFORE) : start][::-1], whole[stop : min(b, stop + AFTER)]
+
+
+def _holders(firsts: list[int | None]) -> list[tuple[bool, bool]]:
+    """For each chunk, whether a run of chunks with one holder starts and ends there."""
+    return [(not k or firsts[k - 1] != f, k + 1 == len(firsts) or firsts[k + 1] != f) for k, f in enumerate(firsts)]
+
+
+def _edges(marked: DataFrame) -> DataFrame:
+    """a, b (digest), side (0 before, 1 after), near (bytes there) and, of ends of runs, doc_id
+    and k; of chunks in the document that holds them first, neither. A chunk
+    that its document holds several times shows its first and its last place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                data, offsets = text_buffer(piece.column(1))
+                start, stop, row = chunks(data, offsets)
+                edge = np.searchsorted(row, np.arange(piece.num_rows + 1)).tolist()
+                one, two = (x.tolist() for x in digests(data, start, stop))
+                starts, stops, whole = start.tolist(), stop.tolist(), data.tobytes()
+                out = []
+                for r, (doc, marks) in enumerate(zip(piece.column(0).to_pylist(), piece.column(2).to_pylist())):
+                    at = edge[r]
+                    firsts: list[int | None] = [None] * (edge[r + 1] - at)
+                    for m in marks:
+                        if m["k"] < len(firsts):
+                            firsts[m["k"]] = m["first_doc"]
+                    held: dict = {}
+                    for k, (f, ends) in enumerate(zip(firsts, _holders(firsts))):
+                        if f is None:
+                            continue
+                        near = _around(whole, int(offsets[r]), int(offsets[r + 1]), starts[at + k], stops[at + k])
+                        key = one[at + k], two[at + k]
+                        if f == doc:
+                            for side in (0, 1):
+                                held.setdefault((*key, side), [near[side]])[1:] = [near[side]]
+                        else:
+                            out += [(*key, side, near[side], doc, k) for side in (0, 1) if ends[side]]
+                    out += [(*key, near, None, None) for key, nears in held.items() for near in set(nears)]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
+                columns = zip(*out) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["a", "b", "side", "near", "doc_id", "k"])
+
+    return marked.mapInArrow(run, "a long, b long, side int, near binary, doc_id long, k int")
+
+
+def alike(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """How many bytes at the start of each pair agree; none is longer than ``BEFORE``."""
+    wide = lambda z: np.frombuffer(b"".join(t.ljust(BEFORE, b"\0") for t in z), np.uint8).reshape(len(z), BEFORE)
+    differ = wide(x) != wide(y)
+    n = np.where(differ.any(axis=1), differ.argmax(axis=1), BEFORE)
+    return np.minimum(n, [min(len(t), len(u)) for t, u in zip(x, y)])
+
+
+def reaches(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc_id, k, side, own (a checksum of the bytes on that side) and n of every end of a run
+    that grows by n bytes."""
+    spark = docs.sparkSession
+    docs = ids_and_texts(docs)
+    per = marks.groupBy("doc_id").agg(F.collect_list(F.struct("k", "first_doc")).alias("marks"))
+    edges = staged(_edges(docs.join(per, "doc_id").select("doc_id", "text", "marks")), "chunk-edges")
+    release_shuffles(spark)
+    # There are two at most, but for rows that repeat a doc_id.
+    held = edges.where("doc_id IS NULL").groupBy("a", "b", "side").agg(F.min("near").alias("one"), F.nullif(F.max("near"), F.min("near")).alias("two"))
+    held = staged(held, "chunk-sides")
+    release_shuffles(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(3).to_pylist()
+                n = np.maximum(alike(x, batch.column(4).to_pylist()), alike(x, [t or b"" for t in batch.column(5).to_pylist()]))
+                own = pa.array([zlib.crc32(t) for t in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], own, pa.array(n.astype(np.int32))], names=["doc_id", "k", "side", "own", "n"]).filter(pa.array(n > 0))
+
+    pairs = edges.where("doc_id IS NOT NULL").join(held, ["a", "b", "side"]).select("doc_id", "k", "side", "near", "one", "two")
+    out = staged(pairs.mapInArrow(run, "doc_id long, k int, side int, own long, n int"), "chunk-reaches")
+    discard(edges)
+    discard(held)
+    release_shuffles(spark)
+    return out
+
+
+def grown(whole: bytes, a: int, b: int, start: np.ndarray, stop: np.ndarray, marked: np.ndarray, reach: list[dict]) -> list[tuple[int, int]]:
+    """(start, stop) of the runs of marked chunks in the text a to b, each grown at its ends and
+    joined with those it meets, that are long enough to be removed. No character is split."""
+    found = [(int(start[k]), int(stop[k])) for k in np.flatnonzero(marked)]
+    for x in reach:
+        if x["k"] < len(start) and marked[x["k"]]:
+            s, e = int(start[x["k"]]), int(stop[x["k"]])
+            if zlib.crc32(_around(whole, a, b, s, e)[x["side"]]) == x["own"]:  # else of another row with this doc_id
+                s, e = (s, e + x["n"]) if x["side"] else (s - x["n"], e)
+                while s < e and whole[s] & 0xC0 == 0x80:
+                    s += 1
+                while e < b and whole[e] & 0xC0 == 0x80:
+                    e -= 1
+                found.append((s, e))
+    joined: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if joined and s <= joined[-1][1]:
+            joined[-1] = joined[-1][0], max(e, joined[-1][1])
+        else:
+            joined.append((s, e))
+    return [(s, e) for s, e in joined if e - s >= PASSAGE]
+
+
+def dedup(docs: DataFrame, grow: bool = False) -> DataFrame:
     """All columns of ``docs`` with the text that is left, and kept_bytes, removed (bytes),
     passages (array of start and stop in bytes) and first_docs (ids that hold them first) in a
-    struct ``__dedup``.
+    struct ``__dedup``. With ``grow``, runs of repeated chunks grow by the bytes around them that
+    agree with the document that holds them first, before their length counts.
 
     Null texts stay null. Rows that repeat a doc_id never cost each other text, and a null
     doc_id loses nothing; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    marks = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_list("k").alias("__ks"), F.array_sort(F.collect_set("first_doc")).alias("__firsts"))
+    found = repeated_chunks(docs, grow)
+    marks = found.where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("k").alias("__ks"), F.array_sort(F.collect_set("first_doc")).alias("__firsts"))
+    if grow:
+        per = reaches(docs, found).groupBy("doc_id").agg(F.collect_list(F.struct("k", "side", "own", "n")).alias("__reach"))
+        marks = marks.join(per, "doc_id", "left")
+    else:
+        marks = marks.withColumn("__reach", F.lit(None).cast("array<struct<k:int,side:int,own:bigint,n:int>>"))
     marks = marks.withColumnRenamed("doc_id", "__doc")
     names = docs.columns
     where = names.index("text")
@@ -140,14 +274,14 @@ def dedup(docs: DataFrame) -> DataFrame:
                 edge = np.searchsorted(row, np.arange(piece.num_rows + 1))
                 whole = data.tobytes()
                 texts, reports = [], []
-                for r, (ks, firsts, null) in enumerate(zip(piece.column(len(names)).to_pylist(), piece.column(len(names) + 1).to_pylist(), np.asarray(piece.column(where).is_null()))):
+                for r, (ks, firsts, reach, null) in enumerate(zip(*(piece.column(len(names) + i).to_pylist() for i in range(3)), np.asarray(piece.column(where).is_null()))):
                     a, b = int(offsets[r]), int(offsets[r + 1])
                     s, e = start[edge[r] : edge[r + 1]], stop[edge[r] : edge[r + 1]]
                     marked = np.zeros(len(s), bool)
                     if ks:
                         k = np.array(ks)
                         marked[k[k < len(s)]] = True
-                    gone = passages(s, e, marked)
+                    gone = grown(whole, a, b, s, e, marked, reach or []) if grow else passages(s, e, marked)
                     edges = [a, *(x for p in gone for x in p), b]
                     left = b"".join(whole[x:y] for x, y in zip(edges[::2], edges[1::2]))
                     texts.append(None if null else left.decode("utf-8", "replace"))
@@ -155,12 +289,12 @@ def dedup(docs: DataFrame) -> DataFrame:
                 columns = [c if i != where else pa.array(texts, c.type) for i, c in enumerate(piece.columns[: len(names)])]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(reports, report)], names=[*names, "__dedup"])
 
-    joined = docs.join(marks, docs["doc_id"] == marks["__doc"], "left").select(*[docs[c] for c in names], "__ks", "__firsts")
-    schema = joined.drop("__ks", "__firsts").withColumn("__dedup", F.lit(None).cast("struct<n_bytes:bigint,n_chunks:bigint,n_removed:bigint,n_spans:bigint,passages:array<struct<start:int,stop:int>>,first_docs:array<bigint>>")).schema
+    joined = docs.join(marks, docs["doc_id"] == marks["__doc"], "left").select(*[docs[c] for c in names], "__ks", "__firsts", "__reach")
+    schema = joined.drop("__ks", "__firsts", "__reach").withColumn("__dedup", F.lit(None).cast("struct<n_bytes:bigint,n_chunks:bigint,n_removed:bigint,n_spans:bigint,passages:array<struct<start:int,stop:int>>,first_docs:array<bigint>>")).schema
     return joined.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = dedup(docs.select("doc_id", "text"))
+    got = dedup(docs.select("doc_id", "text"), grow=True)
     return got.select("doc_id", "__dedup.n_bytes", "__dedup.n_chunks", "__dedup.n_removed", "__dedup.n_spans", "__dedup.passages", "__dedup.first_docs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
