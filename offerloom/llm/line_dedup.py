@@ -8,6 +8,7 @@ join lines into classes, of which the first line stays.
 
 As in the n-gram join, lines of one list meet a leader first, and then only across classes, so
 a crowd of lines that are all alike is never paired line by line. Edits count UTF-8 bytes.
+Lines too short for that form classes with their exact copies only.
 """
 
 from __future__ import annotations
@@ -169,15 +170,15 @@ def _shared(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(run, "key long, node long, own boolean")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """node, doc_id and k (line number) of every line that takes part."""
+def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """node, doc_id and k (line number) of every line of ``least`` bytes or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 data, offsets = text_buffer(piece.column(1))
                 start, stop, row, k = lines(data, offsets)
-                big = stop - start >= LEAST
+                big = stop - start >= least
                 node = RangeHash(data)(start[big], stop[big])
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(np.asarray(piece.column(0))[row[big]]), pa.array(k[big].astype(np.int32))], names=["node", "doc_id", "k"])
 
@@ -262,40 +263,44 @@ def classes(docs: DataFrame) -> DataFrame:
     return components(stars.unionByName(more))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and text (what is left) of every document.
+def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed, text (what is left) and removed (line number k, and kept_doc
+    and kept_k of the line that stays for it) of every document.
 
     Of a class, the line of the smallest doc_id, then the smallest line number, stays. Lines
-    under ``LEAST`` bytes stay as they are. Null texts count as empty; rows with a null doc_id
+    under ``LEAST`` bytes stay as they are; with ``short``, exact copies of those that are not
+    empty go as well. Null texts count as empty; rows with a null doc_id
     stay whole and take no part; where rows repeat a doc_id, the same line numbers go from each.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = ids_and_texts(docs)
     real = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = staged(occurrences(real), "line-occurrences")
+    found = staged(occurrences(real, 1 if short else LEAST), "line-occurrences")
     found = found.join(classes(real), "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "k")
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    gone = staged(found.join(first, "root").where(F.struct("doc_id", "k") != F.col("first")).select("doc_id", "k"), "lines-gone")
+    gone = staged(found.join(first, "root").where(F.struct("doc_id", "k") != F.col("first")).select("doc_id", "k", F.col("first.doc_id").alias("kept_doc"), F.col("first.k").alias("kept_k")), "lines-gone")
     release_shuffles(spark)
-    per = gone.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
+    per = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("k", "kept_doc", "kept_k"))).alias("ks"))
+    kinds = pa.list_(pa.struct([("k", pa.int32()), ("kept_doc", pa.int64()), ("kept_k", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                total, removed, left = [], [], []
+                total, removed, left, behind = [], [], [], []
                 for text, ks in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist()):
                     own = (text or "").split("\n") if text else []
-                    drop = set(ks or ())
+                    behind.append([x for x in ks or () if x["k"] < len(own)])
+                    drop = {x["k"] for x in behind[-1]}
                     keep = [x for k, x in enumerate(own) if k not in drop]
                     total.append(len(own))
                     removed.append(len(own) - len(keep))
                     left.append("\n".join(keep))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_lines", "n_removed", "text"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string()), pa.array(behind, kinds)], names=["doc_id", "n_lines", "n_removed", "text", "removed"])
 
-    return docs.join(per, "doc_id", "left").select("doc_id", "text", "ks").mapInArrow(run, "doc_id long, n_lines long, n_removed long, text string")
+    return docs.join(per, "doc_id", "left").select("doc_id", "text", "ks").mapInArrow(run, "doc_id long, n_lines long, n_removed long, text string, removed array<struct<k:int,kept_doc:long,kept_k:int>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return got.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    got = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True)
+    return got.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("kept_sha256"))
