@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm import bpe, chunk_dedup, exact_dedup, jaccard, packing, toxicity
-from offerloom.llm.common import release_shuffles, staged
+from offerloom.llm.common import release_shuffles, staged, unused
 from offerloom.llm.language import remainder
 
 
@@ -37,7 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id holds are cut; n_chars follows."""
-    left = chunk_dedup.dedup(docs, grow=True).drop("__dedup")
+    report = unused(docs, "report")[0]
+    left = chunk_dedup.dedup(docs, grow=True, report=report).drop(report)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, discard, ids_and_texts, mix, release_shuffles, slices, small_batches, staged, text_buffer
+from .common import RangeHash, discard, ids_and_texts, mix, release_shuffles, slices, small_batches, staged, text_buffer, unused
 
 #: Shortest and longest chunk in bytes, and the bits that must be zero for a cut (so chunks are
 #: about LEAST + 2 ** BITS bytes long). A cut depends on the 32 bytes before it.
@@ -106,7 +106,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame, first_too: bool = False) -> DataFrame:
-    """doc_id, k, first_doc of every chunk that a document with a smaller id holds too; with
+    """a, b, doc_id, k, first_doc of every chunk that a document with a smaller id holds too; with
     ``first_too`` also of the chunks in the document that holds them first.
 
     Copies are first reduced to one row per digest, map-side, so a chunk that a third of all
@@ -118,7 +118,7 @@ def repeated_chunks(docs: DataFrame, first_too: bool = False) -> DataFrame:
     held = chunk_rows(docs).groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     repeated = staged(held.where("first_doc < last_doc").drop("last_doc"), "repeated-chunks")
     release_shuffles(docs.sparkSession)
-    rows = chunk_rows(docs).join(repeated, ["a", "b"]).where("doc_id >= first_doc" if first_too else "doc_id > first_doc").select("doc_id", "k", "first_doc")
+    rows = chunk_rows(docs).join(repeated, ["a", "b"]).where("doc_id >= first_doc" if first_too else "doc_id > first_doc").select("a", "b", "doc_id", "k", "first_doc")
     out = staged(rows, "chunk-marks")
     discard(repeated)
     release_shuffles(docs.sparkSession)
@@ -139,9 +139,23 @@ def _around(whole: bytes, a: int, b: int, start: int, stop: int) -> tuple[bytes,
     return whole[max(a, start - BEFORE) : start][::-1], whole[stop : min(b, stop + AFTER)]
 
 
-def _holders(firsts: list[int | None]) -> list[tuple[bool, bool]]:
-    """For each chunk, whether a run of chunks with one holder starts and ends there."""
-    return [(not k or firsts[k - 1] != f, k + 1 == len(firsts) or firsts[k + 1] != f) for k, f in enumerate(firsts)]
+def rims(marks: DataFrame) -> DataFrame:
+    """doc_id, k, first (whether the document holds the chunk first), before and after: the sides
+    on which chunks are compared with the text around them.
+
+    Of the chunks that an earlier document holds, those where a run of chunks with one holder
+    starts or ends; of the holders' chunks, only those that face one of them.
+    """
+    marks = marks.groupBy("doc_id", "k").agg(F.min(F.struct("first_doc", "a", "b")).alias("m")).select("doc_id", "k", "m.*")
+    near = Window.partitionBy("doc_id").orderBy("k")
+    other = lambda x, step: x.isNull() | (x["k"] != F.col("k") + step) | (x["first_doc"] != F.col("first_doc"))
+    here = F.struct("k", "first_doc")
+    ends = marks.withColumns({"before": other(F.lag(here).over(near), -1), "after": other(F.lead(here).over(near), 1)})
+    ends = staged(ends.where("doc_id > first_doc AND (before OR after)").select("doc_id", "k", "a", "b", "before", "after"), "run-ends")
+    faced = ends.groupBy("a", "b").agg(F.bool_or("before").alias("before"), F.bool_or("after").alias("after"))
+    holders = marks.where("doc_id = first_doc").join(faced, ["a", "b"])
+    columns = ["doc_id", "k", "first", "before", "after"]
+    return ends.withColumn("first", F.lit(False)).select(*columns).unionByName(holders.withColumn("first", F.lit(True)).select(*columns))
 
 
 def _edges(marked: DataFrame) -> DataFrame:
@@ -159,22 +173,18 @@ def _edges(marked: DataFrame) -> DataFrame:
                 starts, stops, whole = start.tolist(), stop.tolist(), data.tobytes()
                 out = []
                 for r, (doc, marks) in enumerate(zip(piece.column(0).to_pylist(), piece.column(2).to_pylist())):
-                    at = edge[r]
-                    firsts: list[int | None] = [None] * (edge[r + 1] - at)
-                    for m in marks:
-                        if m["k"] < len(firsts):
-                            firsts[m["k"]] = m["first_doc"]
+                    at, past = edge[r], edge[r + 1]
                     held: dict = {}
-                    for k, (f, ends) in enumerate(zip(firsts, _holders(firsts))):
-                        if f is None:
+                    for m in sorted(marks, key=lambda m: m["k"]):
+                        k = at + m["k"]
+                        if k >= past:  # of another row with this doc_id
                             continue
-                        near = _around(whole, int(offsets[r]), int(offsets[r + 1]), starts[at + k], stops[at + k])
-                        key = one[at + k], two[at + k]
-                        if f == doc:
-                            for side in (0, 1):
-                                held.setdefault((*key, side), [near[side]])[1:] = [near[side]]
-                        else:
-                            out += [(*key, side, near[side], doc, k) for side in (0, 1) if ends[side]]
+                        near = _around(whole, int(offsets[r]), int(offsets[r + 1]), starts[k], stops[k])
+                        for side in [s for s, asked in enumerate((m["before"], m["after"])) if asked]:
+                            if m["first"]:
+                                held.setdefault((one[k], two[k], side), [near[side]])[1:] = [near[side]]
+                            else:
+                                out.append((one[k], two[k], side, near[side], doc, m["k"]))
                     out += [(*key, near, None, None) for key, nears in held.items() for near in set(nears)]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
                 columns = zip(*out) if out else [[]] * 6
@@ -196,7 +206,7 @@ def reaches(docs: DataFrame, marks: DataFrame) -> DataFrame:
     that grows by n bytes."""
     spark = docs.sparkSession
     docs = ids_and_texts(docs)
-    per = marks.groupBy("doc_id").agg(F.collect_list(F.struct("k", "first_doc")).alias("marks"))
+    per = rims(marks).groupBy("doc_id").agg(F.collect_list(F.struct("k", "first", "before", "after")).alias("marks"))
     edges = staged(_edges(docs.join(per, "doc_id").select("doc_id", "text", "marks")), "chunk-edges")
     release_shuffles(spark)
     # There are two at most, but for rows that repeat a doc_id.
@@ -243,28 +253,33 @@ def grown(whole: bytes, a: int, b: int, start: np.ndarray, stop: np.ndarray, mar
     return [(s, e) for s, e in joined if e - s >= PASSAGE]
 
 
-def dedup(docs: DataFrame, grow: bool = False) -> DataFrame:
-    """All columns of ``docs`` with the text that is left, and kept_bytes, removed (bytes),
+def dedup(docs: DataFrame, grow: bool = False, report: str = "__dedup") -> DataFrame:
+    """All columns of ``docs`` with the text that is left, and n_bytes, n_chunks, n_removed, n_spans,
     passages (array of start and stop in bytes) and first_docs (ids that hold them first) in a
-    struct ``__dedup``. With ``grow``, runs of repeated chunks grow by the bytes around them that
-    agree with the document that holds them first, before their length counts.
+    struct ``report``, which must not be a column of ``docs``. With ``grow``, runs of repeated
+    chunks grow by the bytes around them that agree with the document that holds them first,
+    before their length counts.
 
-    Null texts stay null. Rows that repeat a doc_id never cost each other text, and a null
-    doc_id loses nothing; an empty table gives an empty result.
+    Null texts stay null, very long ones are read whole. Rows that repeat a doc_id never cost each
+    other text, and a null doc_id loses nothing; other columns may have any name; an empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
+    if report.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the report needs a name of its own, {report} is a column")
+    doc, ks, firsts_, reach_ = unused(docs, "__doc", "__ks", "__firsts", "__reach")
     small_batches(spark)
     found = repeated_chunks(docs, grow)
-    marks = found.where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("k").alias("__ks"), F.array_sort(F.collect_set("first_doc")).alias("__firsts"))
+    marks = found.where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("k").alias(ks), F.array_sort(F.collect_set("first_doc")).alias(firsts_))
     if grow:
-        per = reaches(docs, found).groupBy("doc_id").agg(F.collect_list(F.struct("k", "side", "own", "n")).alias("__reach"))
+        per = reaches(docs, found).groupBy("doc_id").agg(F.collect_list(F.struct("k", "side", "own", "n")).alias(reach_))
         marks = marks.join(per, "doc_id", "left")
     else:
-        marks = marks.withColumn("__reach", F.lit(None).cast("array<struct<k:int,side:int,own:bigint,n:int>>"))
-    marks = marks.withColumnRenamed("doc_id", "__doc")
+        marks = marks.withColumn(reach_, F.lit(None).cast("array<struct<k:int,side:int,own:bigint,n:int>>"))
+    marks = marks.withColumnRenamed("doc_id", doc)
     names = docs.columns
     where = names.index("text")
-    report = pa.struct([("n_bytes", pa.int64()), ("n_chunks", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("passages", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("first_docs", pa.list_(pa.int64()))])
+    kind = pa.struct([("n_bytes", pa.int64()), ("n_chunks", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("passages", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("first_docs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,12 +289,12 @@ def dedup(docs: DataFrame, grow: bool = False) -> DataFrame:
                 edge = np.searchsorted(row, np.arange(piece.num_rows + 1))
                 whole = data.tobytes()
                 texts, reports = [], []
-                for r, (ks, firsts, reach, null) in enumerate(zip(*(piece.column(len(names) + i).to_pylist() for i in range(3)), np.asarray(piece.column(where).is_null()))):
+                for r, (hit, firsts, reach, null) in enumerate(zip(*(piece.column(len(names) + i).to_pylist() for i in range(3)), np.asarray(piece.column(where).is_null()))):
                     a, b = int(offsets[r]), int(offsets[r + 1])
                     s, e = start[edge[r] : edge[r + 1]], stop[edge[r] : edge[r + 1]]
                     marked = np.zeros(len(s), bool)
-                    if ks:
-                        k = np.array(ks)
+                    if hit:
+                        k = np.array(hit)
                         marked[k[k < len(s)]] = True
                     gone = grown(whole, a, b, s, e, marked, reach or []) if grow else passages(s, e, marked)
                     edges = [a, *(x for p in gone for x in p), b]
@@ -287,14 +302,14 @@ def dedup(docs: DataFrame, grow: bool = False) -> DataFrame:
                     texts.append(None if null else left.decode("utf-8", "replace"))
                     reports.append({"n_bytes": b - a, "n_chunks": len(s), "n_removed": b - a - len(left), "n_spans": len(gone), "passages": [{"start": x - a, "stop": y - a} for x, y in gone], "first_docs": (firsts or []) if gone else []})
                 columns = [c if i != where else pa.array(texts, c.type) for i, c in enumerate(piece.columns[: len(names)])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(reports, report)], names=[*names, "__dedup"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(reports, kind)], names=[*names, report])
 
-    joined = docs.join(marks, docs["doc_id"] == marks["__doc"], "left").select(*[docs[c] for c in names], "__ks", "__firsts", "__reach")
-    schema = joined.drop("__ks", "__firsts", "__reach").withColumn("__dedup", F.lit(None).cast("struct<n_bytes:bigint,n_chunks:bigint,n_removed:bigint,n_spans:bigint,passages:array<struct<start:int,stop:int>>,first_docs:array<bigint>>")).schema
+    joined = docs.join(marks, docs["doc_id"] == marks[doc], "left").select(*[docs[c] for c in names], ks, firsts_, reach_)
+    schema = joined.drop(ks, firsts_, reach_).withColumn(report, F.lit(None).cast("struct<n_bytes:bigint,n_chunks:bigint,n_removed:bigint,n_spans:bigint,passages:array<struct<start:int,stop:int>>,first_docs:array<bigint>>")).schema
     return joined.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = dedup(docs.select("doc_id", "text"), grow=True)
-    return got.select("doc_id", "__dedup.n_bytes", "__dedup.n_chunks", "__dedup.n_removed", "__dedup.n_spans", "__dedup.passages", "__dedup.first_docs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    got = dedup(docs.select("doc_id", "text"), grow=True, report="found")
+    return got.select("doc_id", *[f"found.{c}" for c in ("n_bytes", "n_chunks", "n_removed", "n_spans", "passages", "first_docs")], F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -11,43 +11,49 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go if the session names no shared folder (tests, notebooks).
-LOCAL_SCRATCH = "/tmp/checkpoints/offerloom"
-
 #: Text bytes handled at once inside an Arrow task; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a local default."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where the session names none, a
+    folder in its warehouse, which a cluster shares too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    spark.sparkContext.setCheckpointDir(LOCAL_SCRATCH)
-    return LOCAL_SCRATCH
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, so a lost
     executor costs a re-read and never a recomputation of the whole chain."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    _scratch[id(back)] = (back, path)
+    back.staged_at = path
     return back
 
 
-_scratch: dict[int, tuple[DataFrame, str]] = {}
-
-
-def discard(df: DataFrame) -> None:
+def discard(*frames: DataFrame) -> None:
     """Delete what :func:`staged` wrote, once nothing will read it again."""
-    back, path = _scratch.pop(id(df), (None, None))
-    if back is not None:
-        spark = df.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with more underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def release_shuffles(spark: SparkSession) -> None:
