@@ -12,7 +12,12 @@ reductions come first. Every window of ``LENGTH`` bytes is filed under the small
 its grams; equal windows are filed alike, and neighbouring windows under the same gram form
 one string. Files with rows of one document only are settled, as are files that hold copies
 of one and the same string. The strings of the other files, chiefly the rims of repeated
-passages, go to the shards.
+passages, go to the shards, some files at a time.
+
+A file that holds a large part of all runs, because very many documents share a passage, would
+crowd one task. Such files are found on a sample of the texts, which decides nothing but the
+way: their windows are counted one by one in Spark, spread by their hash. Strings agree if the
+64-bit hash of their smallest gram and another 64-bit hash of all their bytes do.
 """
 
 from __future__ import annotations
@@ -21,17 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, ids_and_texts, mix, release_shuffles, slices, small_batches, staged, text_buffer
+from .common import RangeHash, discard, ids_and_texts, mix, release_shuffles, slices, small_batches, staged, text_buffer
 
 LENGTH = 50
 GRAM = 20
 #: Longest run of windows in one string.
 RUN = 200
 #: Text bytes behind one task that settles files, and bytes of strings in one shard.
-TASK_BYTES, SHARD_BYTES = 24 << 20, 1 << 20
+TASK_BYTES, SHARD_BYTES = 12 << 20, 1 << 19
+#: Bytes of strings whose files a task refines at once (one file at least).
+GROUP_BYTES = 2 << 20
+#: Text bytes of the sample that finds hot files. A file is hot if it has so many runs, and more
+#: than a quarter of what a task settles; a share of 1 / HOT_SHARE is enough in any table.
+SAMPLE_BYTES, HOT_RUNS, HOT_SHARE = 32 << 20, 10_000, 1 << 16
 
 SPANS = "doc_id long, start int, n_bytes int"
 
@@ -95,14 +106,66 @@ def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {c: np.concatenate(p) if p else np.zeros(0, t) for (c, p), t in zip(parts.items(), _COLUMNS.values())}
 
 
-def _file_away(docs: DataFrame, parts: int) -> DataFrame:
-    """Runs of all texts, packed per part: part int, blob binary."""
+def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Which members of ``x`` are in ``sorted_``."""
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def hot_files(docs: DataFrame, total: int, parts: int) -> np.ndarray:
+    """The files that are too large for one task, at most ``HOT_SHARE`` of them."""
+    share = min(1.0, SAMPLE_BYTES / max(1, total))
+    some = docs if share == 1.0 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                file, times = np.unique(filed_runs(*text_buffer(piece.column(1)))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(file.view(np.int64)), pa.array(times)], names=["file", "times"])
+
+    counts = staged(some.mapInArrow(run, "file long, times long").groupBy("file").agg(F.sum("times").alias("times")), "file-counts")
+    runs = counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    least = max(HOT_RUNS * share, runs * max(1 / (4 * parts), 1 / HOT_SHARE))
+    found = np.array([r[0] for r in counts.where(F.col("times") > least).select("file").collect()], np.int64)
+    discard(counts)
+    return np.sort(found.view(np.uint64))
+
+
+def _hot_spans(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Spans of one window each, for windows of hot files that an earlier document holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                data, offsets = text_buffer(piece.column(1))
+                file, first, count = filed_runs(data, offsets)
+                take = _among(file, hot)
+                file, first, count = file[take], first[take], count[take]
+                if len(file):
+                    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    row = np.searchsorted(offsets, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(file, count).view(np.int64)), pa.array(RangeHash(data)(at, at + LENGTH).view(np.int64)), pa.array(np.asarray(piece.column(0))[row]), pa.array((at - offsets[row]).astype(np.int32))], names=["file", "window", "doc_id", "start"])
+
+    windows = docs.mapInArrow(run, "file long, window long, doc_id long, start int")
+    held = windows.groupBy("file", "window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    held = staged(held.where("first_doc < last_doc").drop("last_doc"), "hot-windows")
+    later = windows.join(held, ["file", "window"]).where("doc_id > first_doc")
+    out = staged(later.select("doc_id", "start", F.lit(LENGTH).alias("n_bytes")), "hot-spans")
+    discard(held)
+    return out
+
+
+def _file_away(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """Runs of all texts but those of hot files, packed per part: part int, blob binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 data, offsets = text_buffer(piece.column(1))
                 file, first, count = filed_runs(data, offsets)
+                cold = ~_among(file, hot)
+                file, first, count = file[cold], first[cold], count[cold]
                 if not len(file):
                     continue
                 row = np.searchsorted(offsets, first, "right") - 1
@@ -324,9 +387,16 @@ def _compare(strings: DataFrame) -> DataFrame:
             return
         table = pa.Table.from_batches(got)
         file, doc, start = (table.column(c).to_numpy() for c in ("file", "doc_id", "start"))
-        d, s, n = repeated(file, doc, start.astype(np.int64), table.column("string").to_pylist())
-        for a in range(0, len(d), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(d[a : a + 50_000]), pa.array(s[a : a + 50_000].astype(np.int32)), pa.array(n[a : a + 50_000].astype(np.int32))], names=["doc_id", "start", "n_bytes"])
+        order = np.argsort(file, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(file[order])) + 1, len(order))  # of files
+        filled = np.cumsum(pc.binary_length(table.column("string")).to_numpy()[order])[ends - 1]
+        last = np.append(np.diff(filled // GROUP_BYTES) > 0, True)
+        begin = 0
+        for stop in ends[last]:
+            at = order[begin:stop]
+            d, s, n = repeated(file[at], doc[at], start[at].astype(np.int64), table.column("string").take(pa.array(at)).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "start", "n_bytes"])
+            begin = stop
 
     return strings.mapInArrow(run, SPANS)
 
@@ -338,12 +408,14 @@ def spans(docs: DataFrame) -> DataFrame:
     docs = ids_and_texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
-    settled = staged(_settle(_file_away(docs, 8 * parts).repartition(parts, "part")), "settled")
+    hot = hot_files(docs, total, parts)
+    settled = staged(_settle(_file_away(docs, parts, hot).repartitionById(parts, "part")), "settled")
     release_shuffles(spark)
-    unsure = _cut_out(docs, settled.where("file IS NOT NULL"), 8 * parts).repartition(parts, "part")
+    unsure = _cut_out(docs, settled.where("file IS NOT NULL"), parts).repartitionById(parts, "part")
     compared = staged(_compare(unsure), "compared")
     release_shuffles(spark)
-    return settled.where("file IS NULL").drop("file").unionByName(compared)
+    found = settled.where("file IS NULL").drop("file").unionByName(compared)
+    return found.unionByName(_hot_spans(docs, hot)) if len(hot) else found
 
 
 def join_runs(start: list[int], size: list[int]) -> list[tuple[int, int]]:
