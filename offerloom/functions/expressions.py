@@ -75,6 +75,57 @@ def site_key(x: Column) -> Column:
     return F.when(host != "", F.concat(host, F.coalesce(F.concat(F.lit(":"), explicit_port(x).cast("string")), F.lit(""))))
 
 
+def url_path(x: Column) -> Column:
+    return F.regexp_extract(x, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+
+
+def url_query(x: Column) -> Column:
+    return F.regexp_extract(x, r"^[^?#]*\?([^#]*)", 1)
+
+
+def unquoted(x: Column) -> Column:
+    """Percent-decoded text, as written where it cannot be decoded."""
+    return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+
+
+def resolve_link(base: Column, href: Column) -> Column:
+    """The absolute http(s) URL that a link on a page means, without its fragment, or null.
+
+    Links with a user name, without a host or with an impossible port mean nothing.
+    """
+    h, origin = F.trim(href), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    at = F.regexp_extract(h, "^[^?#]*", 0)
+    rest = F.regexp_extract(h, r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.regexp_replace(url_path(base), "[^/]*$", "")
+    parts = F.split(F.when(at.startswith("/"), at).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), at)), "/")
+    parts = F.when(at.startswith("/"), parts).otherwise(F.concat(F.slice(parts, 1, 1), F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda p: p != ""), F.slice(parts, -1, 1)))
+    last = F.element_at(parts, -1)
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(parts, none, lambda done, p: F.when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(p == ".", done).otherwise(F.concat(done, F.array(p))))
+    walked = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    joined = F.array_join(walked, "/")
+    path = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    whole = (
+        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+        .when(h.startswith("//"), F.concat(url_scheme(base), F.lit(":"), h))
+        .when(at == "", F.concat(origin, url_path(base), F.when(rest != "", rest).otherwise(F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1))))
+        .otherwise(F.concat(origin, path, rest))
+    )
+    authority = F.regexp_extract(whole, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    number = F.regexp_extract(authority, r":([^:\]]*)$", 1)
+    fits = (number == "") | (number.rlike("^[0-9]+$") & (number.try_cast("long") <= 65535))
+    host = F.regexp_replace(F.lower(F.regexp_replace(authority, r":[^:\]]*$", "")), r"\.+$", "")
+    port = explicit_port(whole)
+    good = (h != "") & ~h.startswith("#") & url_scheme(whole).isin("http", "https") & (host != "") & ~F.contains(authority, F.lit("@")) & fits
+    tail = F.concat(F.when(url_path(whole) == "", "/").otherwise(url_path(whole)), F.regexp_extract(whole, r"^[^?#]*(\?[^#]+)", 1))
+    return F.when(good, F.concat(url_scheme(whole), F.lit("://"), host, F.coalesce(F.concat(F.lit(":"), port.cast("string")), F.lit("")), tail))
+
+
+def blocked_suffix(url: Column) -> Column:
+    """Whether the path names a file that is no page."""
+    return any_of([F.lower(url_path(url)).endswith(s) for s in fixed.BLOCKED_SUFFIXES])
+
+
 def canonical_url(x: Column) -> Column:
     """Lower-case scheme and authority, no tracking keys, no doubled or trailing slashes, no
     fragment. Queries are kept as written, for plain characters the same as re-encoding them."""

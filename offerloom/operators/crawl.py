@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions as ex
+from ..functions import fixed
+
 
 def discover(seeds: DataFrame, links: DataFrame, depth: int, pages: int, urls: int) -> DataFrame:
     """url, parent, depth and discovery_index of all URLs within ``depth`` steps of the seeds.
@@ -33,17 +36,71 @@ def discover(seeds: DataFrame, links: DataFrame, depth: int, pages: int, urls: i
     return known
 
 
+def in_scope(url: Column, origins: Column, hosts: Column | None = None) -> Column:
+    """Whether a URL has the origin of a seed, or, where ``hosts`` are given, one of those hosts."""
+    own = F.array_contains(origins, ex.origin_key(url))
+    return own if hosts is None else own | F.array_contains(hosts, F.regexp_replace(ex.url_host(url), r"\.+$", ""))
+
+
+def page_edges(anchors: DataFrame, seeds: DataFrame, most: int = 250) -> DataFrame:
+    """Links of pages as edges (url, target, position, nofollow): resolved, inside the origins of
+    the seeds, no files, once each per page, the first ``most`` anchors of a page.
+
+    ``anchors``: url, base, href, rel and position. The few origins of seeds travel as one array.
+    """
+    origins = seeds.select(ex.origin_key(F.col("url")).alias("o")).distinct().agg(F.collect_list("o")).scalar()
+    resolved = ex.resolve_link(F.coalesce(ex.resolve_link(F.col("url"), F.col("base")), F.col("url")), F.col("href"))
+    links = anchors.where(F.col("position") < most).select("url", resolved.alias("target"), "position", F.array_contains("rel", "nofollow").alias("nofollow"))
+    good = links.where(F.col("target").isNotNull() & ~ex.blocked_suffix(F.col("target")) & in_scope(F.col("target"), origins))
+    return good.groupBy("url", "target").agg(F.min("position").alias("position"), F.bool_and("nofollow").alias("nofollow"))
+
+
+def link_score(url: Column, anchor: Column) -> Column:
+    """How likely a link leads to offers, from its path, query and text; -100 rules it out."""
+    parts = F.transform(F.filter(F.split(ex.url_path(url), "/"), lambda p: p != ""), lambda p: F.lower(ex.unquoted(p)))
+    among = lambda words: F.size(F.array_intersect(parts, F.array(*[F.lit(w) for w in words])))
+    keys = F.transform(F.filter(F.split(ex.url_query(url), "&"), lambda p: p != ""), lambda p: F.lower(ex.unquoted(F.substring_index(p, "=", 1))))
+    paged = F.arrays_overlap(keys, F.array(*[F.lit(k) for k in fixed.PAGINATION_KEYS]))
+    strong = among(fixed.STRONG_SEGMENTS)
+    named = F.size(ex.matched_terms(plain(anchor), fixed.DISCOUNT_TERMS))
+    score = (
+        F.when(strong > 0, F.least(F.lit(5.0), 3.5 + 0.5 * (strong - 1))).otherwise(0.0)
+        + F.when(among(fixed.MERCHANT_SEGMENTS) > 0, 1.25).otherwise(0.0)
+        + F.when(among(fixed.NAVIGATION_SEGMENTS) > 0, -1.5).otherwise(0.0)
+        + F.when(paged, -2.0).otherwise(0.0)
+        + F.least(F.lit(2.0), 0.75 * named)
+    )
+    return F.when(among(fixed.NEGATIVE_SEGMENTS) > 0, -100.0).otherwise(F.round(score, 6))
+
+
+def plain(x: Column) -> Column:
+    return ex.collapse(F.translate(F.lower(F.coalesce(x, F.lit(""))), "ё", "е"))
+
+
+def ranked(assessed: DataFrame) -> DataFrame:
+    """Order of merit: targets, candidates, unprobed, the rest; then by score and discovery."""
+    turn = F.array_position(F.array(*[F.lit(s) for s in ("target", "candidate", "unprobed", "non_target")]), F.col("status"))
+    return assessed.orderBy(turn, F.desc("score"), "discovery_index")
+
+
+def selected(assessed: DataFrame, candidates: bool = True, unprobed: bool = False, most: int = 100) -> DataFrame:
+    """The best ``most`` URLs whose status is allowed."""
+    allowed = ["target"] + ["candidate"] * candidates + ["unprobed"] * unprobed
+    return ranked(assessed.where(F.col("status").isin(allowed))).limit(most)
+
+
 def content_score(title: Column, h1: Column, meta: Column, visible: Column, terms: list[str], calls: list[str]) -> Column:
     """Terms in title, h1 and description count two each; how many different ones the text has,
-    how often, and calls to action add to it."""
-    has = lambda x: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(F.coalesce(x, F.lit(""))), t))
-    low = F.lower(F.coalesce(visible, F.lit("")))
+    how often, and calls to action add to it; a title that says nothing takes 2.5 off."""
+    has = lambda x: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(plain(x), t))
+    low = plain(visible)
     count = lambda words: F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(w)))) / len(w) for w in words])
     different = F.size(F.filter(count(terms), lambda n: n > 0))
     density = F.aggregate(count(terms), F.lit(0.0), lambda a, n: a + n)
     acts = F.size(F.filter(count(calls), lambda n: n > 0))
-    fixed = sum((F.when(has(x), 2.0).otherwise(0.0) for x in (title, h1, meta)), F.lit(0.0))
-    return fixed + F.least(F.lit(3.0), 0.5 * different) + F.when(density >= 8, 2.0).when(density >= 3, 1.0).otherwise(0.0) + F.least(F.lit(1.5), 0.75 * acts)
+    named = sum((F.when(has(x), 2.0).otherwise(0.0) for x in (title, h1, meta)), F.lit(0.0))
+    empty = F.when(plain(title).isin(fixed.GENERIC_PAGE_TITLES), -2.5).otherwise(0.0)
+    return empty + named + F.least(F.lit(3.0), 0.5 * different) + F.when(density >= 8, 2.0).when(density >= 3, 1.0).otherwise(0.0) + F.least(F.lit(1.5), 0.75 * acts)
 
 
 def status(score: Column) -> Column:

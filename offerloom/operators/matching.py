@@ -65,10 +65,16 @@ def cascade(new: DataFrame, stored: DataFrame) -> DataFrame:
     out = out.join(least(["promo_code", "merchant"], "__code"), ["promo_code", "merchant"], "left")
     out = out.join(least(["fingerprint"], "__print"), ["fingerprint"], "left")
     open_ = out.where("__url IS NULL AND __code IS NULL AND __print IS NULL AND merchant IS NOT NULL AND merchant <> ''")
-    newest = Window.partitionBy("merchant").orderBy(F.desc("updated_at"), "offer_id")
-    pool = stored.withColumn("__rank", F.row_number().over(newest)).where(F.col("__rank") <= BUDGET)
     fields = ["norm_merchant", "norm_title", "discount_percent", "discount_amount", "updated_at"]
-    drawn = pool.select(F.col("merchant").alias("__m"), F.col("offer_id").alias("__other"), *[F.col(c).alias(f"__{c}") for c in fields])
+    pool = stored.select(F.col("merchant").alias("__m"), F.col("offer_id").alias("__other"), *[F.col(c).alias(f"__{c}") for c in fields])
+    newest = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__updated_at"), "__other"))
+    named = pool.where("__m IS NOT NULL").withColumn("__rank", newest("__m")).where(F.col("__rank") <= BUDGET).drop("__rank")
+    # Offers without a merchant use up the budget of every merchant; they are BUDGET rows at most.
+    nobody = pool.where("__m IS NULL").orderBy(F.desc("__updated_at"), "__other").limit(BUDGET)
+    asked = open_.select(F.col("merchant").alias("__m")).distinct()
+    lone = nobody.agg(F.collect_list(F.struct(*nobody.columns[1:]))).scalar()
+    both = named.unionByName(asked.select("__m", F.inline(lone)))
+    drawn = both.withColumn("__rank", newest("__m")).where(F.col("__rank") <= BUDGET)
     named = open_.join(drawn, F.col("merchant") == F.col("__m")).where("norm_merchant = __norm_merchant")
     apart = lambda c: F.when(F.col(c).isNotNull() & F.col(f"__{c}").isNotNull() & (F.col(c) != F.col(f"__{c}")), PENALTY).otherwise(0.0)
     scored = named.withColumn("__score", token_set_score("norm_title", "__norm_title") - apart("discount_percent") - apart("discount_amount"))

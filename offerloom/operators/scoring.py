@@ -21,8 +21,8 @@ def resolve_fields(candidates: DataFrame, fields: DataFrame) -> DataFrame:
     order = Window.partitionBy("asset", "field").orderBy(F.desc("confidence"), "provider", "candidate_id")
     ranked = candidates.withColumn("__rank", F.row_number().over(order)).withColumn("second", F.lead("confidence").over(order)).where("__rank = 1")
     assets = candidates.select("asset").distinct()
-    names = [r["field"] for r in fields.select("field").orderBy("field").limit(MOST_FIELDS).collect()]
-    spread = assets.withColumn("field", F.explode(F.array(*[F.lit(n) for n in names]))).join(fields, "field")
+    names = fields.agg(F.collect_set("field")).scalar()  # a specification, one small row
+    spread = assets.withColumn("field", F.explode(names)).join(fields, "field")
     joined = spread.join(ranked.select("asset", "field", "value", "confidence", "second"), ["asset", "field"], "left")
     status = (
         F.when(F.col("confidence").isNull(), "unresolved")
@@ -33,9 +33,6 @@ def resolve_fields(candidates: DataFrame, fields: DataFrame) -> DataFrame:
     return joined.select("asset", "field", "value", "confidence", status.alias("status"))
 
 
-MOST_FIELDS = 1_000
-
-
 def corroborate(signals: DataFrame) -> DataFrame:
     """Signals (asset, field, value, kind, confidence) that name one value support each other:
     the best confidence, .03 more for each further kind, .09 more at most, under .99."""
@@ -84,17 +81,13 @@ def parity_fold(runs: DataFrame, source: str, order: list[str], needed: int = 30
     A run with a failure sends the source back to observing and ends both streaks; after
     ``needed`` passes in a row and ``clean`` clean runs it is promoted.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, "passed", "failed")))
-    start = F.struct(F.lit(0).cast("long").alias("streak"), F.lit(0).cast("long").alias("clean_runs"), F.lit("observing").alias("mode"))
-
-    def step(state, run):
-        bad = run["failed"] > 0
-        streak = F.when(bad, F.lit(0).cast("long")).otherwise(state["streak"] + run["passed"])
-        runs_ = F.when(bad, F.lit(0).cast("long")).otherwise(state["clean_runs"] + (run["passed"] > 0).cast("long"))
-        mode = F.when(bad, "observing").when((streak >= needed) & (runs_ >= clean), "generic_primary").otherwise(state["mode"])
-        return F.struct(streak.alias("streak"), runs_.alias("clean_runs"), mode.alias("mode"))
-
-    return runs.groupBy(source).agg(rows.alias("runs")).select(source, F.aggregate("runs", start, step).alias("s")).select(source, "s.*")
+    at = F.struct(*order)
+    failed = runs.where("failed > 0").groupBy(source).agg(F.max(at).alias("__last"))
+    # After the last failure both streaks only grow, so their sums decide; no run waits for another.
+    after = runs.join(failed, source, "left").withColumn("__on", (F.col("failed") <= 0) & (F.col("__last").isNull() | (at > F.col("__last"))))
+    zero = F.lit(0).cast("long")
+    streaks = after.groupBy(source).agg(F.coalesce(F.sum(F.when(F.col("__on"), F.col("passed"))), zero).alias("streak"), F.count_if(F.col("__on") & (F.col("passed") > 0)).alias("clean_runs"))
+    return streaks.withColumn("mode", F.when((F.col("streak") >= needed) & (F.col("clean_runs") >= clean), "generic_primary").otherwise("observing"))
 
 
 def quality(flags: dict[str, Column], weights: dict[str, str]) -> Column:

@@ -116,17 +116,26 @@ def match_items(new: DataFrame, known: DataFrame, key: str, content: str) -> Dat
 def classify_by_rules(rows: DataFrame, rules: DataFrame, text: str, fallback: str) -> DataFrame:
     """The category of the first rule, by priority then id, whose value the text contains.
 
-    Rules are few by nature; they are turned into one expression when their number is bounded,
-    so no join and no pairing of rows with rules takes place.
+    The enabled rules travel as one array in order, so rows meet no rule in a join and any
+    number of rules works.
     """
-    ordered = rules.where("enabled").orderBy(F.desc("priority"), "id").limit(MOST_RULES + 1).collect()
-    if len(ordered) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} enabled rules")
-    chosen = reduce(lambda rest, r: F.when(F.contains(F.lower(text), F.lit(r["match_value"].lower())), F.lit(r["category"])).otherwise(rest), reversed(ordered), F.lit(fallback))
-    return rows.withColumn("category", chosen)
+    each = F.struct((-F.col("priority")).alias("p"), F.col("id"), F.lower("match_value").alias("value"), F.col("category"))
+    ordered = rules.where("enabled").agg(F.sort_array(F.collect_list(each))).scalar()
+    hit = F.get(F.filter("__rules", lambda r: F.contains(F.lower(text), r["value"])), F.lit(0))
+    return rows.withColumn("__rules", ordered).withColumn("category", F.coalesce(hit["category"], F.lit(fallback))).drop("__rules")
 
 
-MOST_RULES = 500
+def numbered(df: DataFrame, key: str, name: str, width: int = 65_536) -> DataFrame:
+    """Rows with their place (from 0) in the order of an integer key that no two rows share.
+
+    Ranges of ``width`` keys are numbered side by side; the counts of the ranges before are
+    added, so no task sees more than one range of rows.
+    """
+    ranged = df.withColumn("__range", F.floor(F.col(key) / width))
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return ranged.withColumn("__place", place).join(before, "__range").withColumn(name, F.col("__place") + F.col("__before")).drop("__range", "__place", "__before")
 
 
 def overlay(base: DataFrame, state: DataFrame, key: str, columns: list[str]) -> DataFrame:

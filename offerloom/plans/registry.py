@@ -53,12 +53,18 @@ def registry_seed(spark, d):
     return rg.seed(config, registry).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT page_id, CASE WHEN contains(html, '<article>') AND length(html) > 3000 THEN NULL ELSE NULL END AS reason, regexp_matches(lower(substr(html, 1, 128)), '^(<!doctype html|<html|<head|<body)') AS is_html FROM pages""")
+_SHELLS = """SELECT page_id AS key, CASE page_id % 5 WHEN 0 THEN '<html><body><div id="root"></div><script>a</script><script>b</script></body></html>' WHEN 1 THEN '<p>You need to enable JavaScript</p>' WHEN 2 THEN ' ' WHEN 3 THEN NULL ELSE html END AS html FROM pages"""
+
+
+@query(f"""SELECT key, CASE WHEN html IS NULL THEN NULL WHEN contains(lower(html), 'enable javascript') THEN 'javascript_required_message' WHEN contains(html, 'id="root"') THEN 'client_rendered_shell' WHEN trim(html) = '' THEN 'empty_html' END AS reason,
+regexp_matches(lower(ltrim(substr(html, 1, 128))), '^(<!doctype html|<html|<head|<body)') AS is_html FROM ({_SHELLS})""")
 def render_policy(spark, d):
-    pages = table(spark, d, "pages")
-    seen = html.summaries(pages, "page_id").select("page_id", "visible", "scripts")
-    joined = pages.join(seen, "page_id")
-    return joined.select("page_id", rg.render_reason(F.col("html"), F.col("visible"), F.col("scripts")).cast("int").alias("reason"), rg.is_html(F.lit(None).cast("string"), F.col("html")).alias("is_html"))
+    """Four of five pages are replaced by a shell, a message, a blank and nothing."""
+    k = F.pmod("page_id", F.lit(5))
+    shell = F.when(k == 0, '<html><body><div id="root"></div><script>a</script><script>b</script></body></html>').when(k == 1, "<p>You need to enable JavaScript</p>").when(k == 2, " ").when(k == 4, F.col("html"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("key"), shell.alias("html"))
+    joined = pages.join(html.summaries(pages, "key").select("key", "visible", "scripts"), "key", "left")
+    return joined.select("key", rg.render_reason(F.col("html"), F.col("visible"), F.col("scripts")).alias("reason"), rg.is_html(F.lit(None).cast("string"), F.col("html")).alias("is_html"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'shop_' || c_custkey WHEN c_custkey % 4 = 1 THEN 'shop_' || c_custkey WHEN c_custkey % 4 = 2 THEN NULL ELSE NULL END AS channel FROM customer""")

@@ -43,9 +43,10 @@ def current_leases(spark, d):
 
 
 @query(f"""SELECT item_id, reviewer, CASE WHEN l.reviewer_id IS NULL THEN 'claimed' WHEN active AND l.reviewer_id = reviewer THEN 'already_held' WHEN active THEN 'refused' WHEN l.reviewer_id = reviewer THEN 'claimed' ELSE 'taken_over' END AS outcome
-FROM (SELECT range AS item_id, range % 5 AS reviewer FROM range(200)) r LEFT JOIN (SELECT *, action IN ('claimed', 'renewed', 'taken_over') AND seen + INTERVAL 6 HOUR > TIMESTAMP '{_NOW}' AS active FROM ({_LATEST})) l USING (item_id)""")
+FROM (SELECT c_custkey AS item_id, c_custkey % 5 AS reviewer FROM customer) r LEFT JOIN (SELECT *, action IN ('claimed', 'renewed', 'taken_over') AND seen + INTERVAL 6 HOUR > TIMESTAMP '{_NOW}' AS active FROM ({_LATEST})) l USING (item_id)""")
 def claim_outcomes(spark, d):
-    requests = spark.range(200).select(F.lit("job").alias("job_id"), F.col("id").alias("item_id"), F.pmod("id", F.lit(5)).alias("reviewer_id"))
+    key = F.col("c_custkey").cast("long")
+    requests = table(spark, d, "customer").select(F.lit("job").alias("job_id"), key.alias("item_id"), F.pmod(key, F.lit(5)).alias("reviewer_id"))
     got = state.claim(requests, _leases(spark, d), F.lit(_NOW).cast("timestamp"), F.expr("INTERVAL 15 MINUTES"))
     return got.select("item_id", F.col("reviewer_id").alias("reviewer"), "outcome")
 
@@ -53,7 +54,7 @@ def claim_outcomes(spark, d):
 @query(f"""SELECT item_id, reviewer, CASE WHEN l.reviewer_id IS NULL THEN 'claimed' WHEN active AND l.reviewer_id = reviewer THEN 'already_held' WHEN active THEN 'refused' WHEN l.reviewer_id = reviewer THEN 'claimed' ELSE 'taken_over' END AS outcome
 FROM (SELECT DISTINCT user_id AS item_id, user_id % 5 AS reviewer FROM events) r LEFT JOIN (SELECT *, action IN ('claimed', 'renewed', 'taken_over') AND seen + INTERVAL 6 HOUR > TIMESTAMP '{_NOW}' AS active FROM ({_LATEST})) l USING (item_id)""")
 def claim_outcomes_of_users(spark, d):
-    """A claim for every user of events, where claim_outcomes asks for the ids 0 to 199."""
+    """A claim for every user of events, where claim_outcomes asks for every customer's number."""
     users = table(spark, d, "events").select(F.col("user_id").alias("item_id")).distinct()
     requests = users.select(F.lit("job").alias("job_id"), "item_id", F.pmod("item_id", F.lit(5)).alias("reviewer_id"))
     got = state.claim(requests, _leases(spark, d), F.lit(_NOW).cast("timestamp"), F.expr("INTERVAL 15 MINUTES"))

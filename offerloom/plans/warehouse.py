@@ -222,23 +222,22 @@ def discovery_corroboration(spark, d):
 _STATUS = "CASE event_type WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'unresolved' WHEN 'view' THEN 'needs_confirmation' ELSE 'auto_selected' END"
 
 
-@query(f"SELECT user_id, CASE WHEN bool_or(s = 'rejected') THEN 'rejected' WHEN bool_or(s = 'unresolved') THEN 'incomplete' WHEN bool_or(s = 'needs_confirmation') THEN 'needs_confirmation' ELSE 'ready' END AS record_status FROM (SELECT user_id, {_STATUS} AS s FROM events WHERE event_id % 40 = user_id % 40) GROUP BY 1")
+@query(f"SELECT user_id, CASE WHEN bool_or(s = 'rejected') THEN 'rejected' WHEN bool_or(s = 'unresolved') THEN 'incomplete' WHEN bool_or(s = 'needs_confirmation') THEN 'needs_confirmation' ELSE 'ready' END AS record_status FROM (SELECT user_id, {_STATUS} AS s FROM events) GROUP BY 1")
 def record_status(spark, d):
-    rows = table(spark, d, "events").where("event_id % 40 = user_id % 40").select("user_id", F.expr(_STATUS).alias("status"))
+    rows = table(spark, d, "events").select("user_id", F.expr(_STATUS).alias("status"))
     return sc.record_status(rows, "user_id")
 
 
 _JOB = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'needs_review' ELSE 'succeeded' END"
 
 
-@query(f"SELECT user_id, CASE WHEN bool_or(s = 'failed') THEN 'completed_with_failures' WHEN bool_or(s = 'needs_review') THEN 'needs_attention' ELSE 'succeeded' END AS job_status FROM (SELECT user_id, {_JOB} AS s FROM events WHERE event_id % 40 = user_id % 40) GROUP BY 1")
+@query(f"SELECT user_id, CASE WHEN bool_or(s = 'failed') THEN 'completed_with_failures' WHEN bool_or(s = 'needs_review') THEN 'needs_attention' ELSE 'succeeded' END AS job_status FROM (SELECT user_id, {_JOB} AS s FROM events) GROUP BY 1")
 def job_status(spark, d):
-    rows = table(spark, d, "events").where("event_id % 40 = user_id % 40").select("user_id", F.expr(_JOB).alias("status"))
+    rows = table(spark, d, "events").select("user_id", F.expr(_JOB).alias("status"))
     return sc.job_status(rows, "user_id")
 
 
-# record_status and job_status read a slice of events, as their SQL says; these two read every row.
-# By user alone each would have one status only, so they group by user and day.
+# A user with many events mostly has the worst status; by user and day all of them occur.
 _DAILY = "SELECT user_id, CAST(ts AS DATE) AS day, {0} AS s FROM events"
 
 
@@ -298,7 +297,10 @@ def profile_prune(spark, d):
     return patterns.agg(F.count_if(F.col("w") <= 0.05).alias("removed"), F.count_if(F.col("w") > 0.05).alias("kept"))
 
 
-@query()
+@query("""WITH r AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'error' THEN 0 ELSE CAST(ceil(value / 10) AS BIGINT) END AS passed, event_type = 'error' AS bad FROM events),
+a AS (SELECT *, sum(CAST(bad AS INT)) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS failures_from_here FROM r),
+s AS (SELECT user_id, CAST(coalesce(sum(passed) FILTER (failures_from_here = 0), 0) AS BIGINT) AS streak, count(*) FILTER (failures_from_here = 0 AND passed > 0) AS clean_runs FROM a GROUP BY 1)
+SELECT *, CASE WHEN streak >= 30 AND clean_runs >= 3 THEN 'generic_primary' ELSE 'observing' END AS mode FROM s""")
 def parity_fold(spark, d):
     runs = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "error", 0).otherwise(F.ceil(F.col("value") / 10)).cast("long").alias("passed"), (F.col("event_type") == "error").cast("long").alias("failed"))
     return sc.parity_fold(runs, "user_id", ["ts", "event_id"])
@@ -313,10 +315,7 @@ def ranked_urls(spark, d):
 
 @query("SELECT page_id FROM pages WHERE pmod_((SELECT count(*) FROM pages p WHERE p.page_id < pages.page_id), 10) = 3".replace("pmod_(", "mod("))
 def rotating_sample(spark, d):
-    from pyspark.sql import Window
-
-    pages = table(spark, d, "pages").select("page_id")
-    return pages.withColumn("rank", F.row_number().over(Window.orderBy("page_id")) - 1).where(F.pmod("rank", F.lit(10)) == 3).select("page_id")
+    return wh.numbered(table(spark, d, "pages").select("page_id"), "page_id", "rank").where(F.pmod("rank", F.lit(10)) == 3).select("page_id")
 
 
 _RULES = [(1, "red", "warm", 10), (2, "blue", "cold", 30), (3, "green", "fresh", 20), (4, "steel", "metal", 40), (5, "an", "other", 1)]

@@ -47,9 +47,14 @@ class Snapshots:
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{version}")
         jvm, path, fs = self._pointer()
-        out = fs.create(path, True)
+        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/.CURRENT-{version}")
+        out = fs.create(fresh, True)
         try:
             out.write(bytearray(json.dumps({"version": version}).encode()))
         finally:
             out.close()
+        # One rename, so a reader sees the old pointer or the new one, never half of it.
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, path, over)
         return version
