@@ -12,20 +12,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, ids_and_texts, scratch_dir, staged
+from .common import attach, scratch_dir, staged, unused
 
 COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, group_size BIGINT, run STRING"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, row (number of the input row), digest, n_points; text is read once.
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, row (number of the input row, or the column of that name), digest, n_points; text
+    is read once.
 
     The digest is SHA-256 of the text without ``[\\x20\\x09-\\x0D]``; null counts as empty.
     """
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), number.alias("row"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    return ids_and_texts(docs).select(
+    return docs.select(
         "doc_id",
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         F.unhex(F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""), 256)).alias("digest"),
         F.char_length(text).alias("n_points"),
     )
@@ -49,23 +52,25 @@ class DigestIndex:
     def append(self, found: DataFrame, run: str) -> None:
         """Add the digests of ``found`` (see :func:`digests`) that the index lacks."""
         best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("d"), (-F.col("row")).alias("r"))).alias("best")
-        groups = found.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
+        # Written first: Spark would move the anti-join below the sums, and all copies with it.
+        groups = staged(found.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size")), "digest-groups")
         known = self.table().select("digest").hint("merge")
         new = groups.join(known, "digest", "left_anti").select("digest", (-F.col("best.d")).alias("keep_id"), (-F.col("best.r")).alias("keep_row"), "group_size", F.lit(run).alias("run"))
         new.write.mode("append").insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
 
-def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex, row: str | None = None) -> DataFrame:
     """Every row of ``docs`` with its keeper; the index gains the new digests.
 
     Columns: doc_id, row, keep_id, group_size, kept, digest. A row is kept if its digest is
     new to the index and of its equals it has the most code points, then the smallest doc_id,
     then (repeated rows) the smallest row number. Null texts count as empty; a null doc_id
-    loses against any other; an empty table gives an empty result.
+    loses against any other; texts of any length are hashed whole; an empty table gives an
+    empty result. ``row`` names a column that numbers the rows, if there is one.
     """
     run = uuid.uuid4().hex
-    found = staged(digests(docs), "digests")
+    found = staged(digests(docs, row), "digests")
     index.append(found, run)
     known = index.table()
     total = known.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
@@ -80,10 +85,14 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
 
 
 def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` that :func:`dedup` keeps, with all their columns."""
-    kept = dedup(docs, index).where("kept").select(F.col("row").alias("__kept_row"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(kept, numbered["__row"] == kept["__kept_row"], "left_semi").drop("__row")
+    """The rows of ``docs`` that :func:`dedup` keeps, with all their columns, whatever their names.
+
+    The rows are numbered once, in a written table: numbers of a second reading could differ.
+    """
+    number, kept = unused(docs, "__row", "__kept")
+    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    stays = dedup(numbered, index, number).where("kept").select(F.col("row").alias(kept))
+    return numbered.join(stays, numbered[number] == stays[kept], "left_semi").drop(number)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
