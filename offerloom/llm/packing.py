@@ -4,8 +4,8 @@ Documents become token ids plus one end id; those longer than a sequence are cut
 sequences, their first piece taking the remainder. Pieces are dealt to packing groups of a
 bounded size. In a group best-fit decreasing gives a start; then the local search moves a
 piece, exchanges one for one, or exchanges two for one between underfull sequences, always so
-that the fuller sequence gains and the sum of squared fills grows, until sequences run empty
-or the lower bound is met.
+that the fuller sequence gains and the sum of squared fills grows, until no step gains or the
+lower bound is met.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,8 +29,6 @@ SEQUENCE = 2048
 END_ID = 0
 #: Pieces that one task packs; each group can waste a part of one sequence at most by the split.
 GROUP = 25_000
-#: Passes over the underfull sequences; each pass takes the emptiest donors first.
-ROUNDS = 3
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -110,63 +109,67 @@ class Bins:
                 open_by_room[room].append(b)
                 rooms |= 1 << room
 
+    def _kind(self, b: int) -> tuple[int, ...]:
+        """The sizes in a bin; bins of one kind offer the same steps."""
+        return tuple(sorted(self.sizes[i] for i in self.items[b]))
+
     def local_search(self) -> None:
         """Empty the emptiest bins into the room of the others, while that is possible."""
         least = -(-sum(self.sizes) // self.capacity)
-        for _ in range(ROUNDS):
-            used = sum(1 for f in self.fill if f)
-            if used <= least:
-                return
+        used = sum(1 for f in self.fill if f)
+        gained = True
+        while gained:  # the sum of squared fills grows with each step, so this ends
             gained = False
             under = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b])
+            alike: dict[tuple[int, ...], set[int]] = defaultdict(set)
+            for b in under:
+                alike[self._kind(b)].add(b)
+            stuck: set[tuple[int, ...]] = set()
             for donor in under:
-                if used <= least:
-                    return
-                if 0 < self.fill[donor] < self.capacity:
-                    while self.items[donor] and self._improve(donor, under):
+                while 0 < self.fill[donor] < self.capacity and used > least and (kind := self._kind(donor)) not in stuck:
+                    if self._improve(donor, alike):
                         gained = True
-                    used -= not self.items[donor]
-            if not gained:
-                return
+                        used -= not self.items[donor]
+                        stuck.clear()
+                    else:
+                        stuck.add(kind)
 
-    def _improve(self, donor: int, under: list[int]) -> bool:
+    def _improve(self, donor: int, alike: dict[tuple[int, ...], set[int]]) -> bool:
         """One step that lowers the donor's fill and raises a fuller bin's; False if none is.
 
         The step that fills a receiver most wins. Each step raises the sum of squared fills,
-        because the receiver was at least as full as the donor, so the search ends.
+        because the receiver was at least as full as the donor.
         """
         sizes, low = self.sizes, self.fill[donor]
         best: tuple[int, int, list[int], list[int]] | None = None
-        mine = sorted({sizes[i]: i for i in self.items[donor]}.values(), key=lambda i: -sizes[i])
-        pairs = {}
-        for x, i in enumerate(self.items[donor][:24]):
-            for j in self.items[donor][x + 1 : 24]:
-                pairs.setdefault(sizes[i] + sizes[j], [i, j])
-        for b in under:
-            room = self.capacity - self.fill[b]
-            if b == donor or not room or self.fill[b] < low or not self.items[b]:
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for i in self.items[donor]:
+            by_size[sizes[i]].append(i)
+        ones = {n: held[:1] for n, held in by_size.items()}
+        twos = {2 * n: held[:2] for n, held in by_size.items() if len(held) > 1}
+        for n, held in by_size.items():
+            for m, others in by_size.items():
+                if n < m:
+                    twos.setdefault(n + m, [held[0], others[0]])
+        offers = [(sorted(group), group) for group in (ones, twos)]
+        for bins in alike.values():
+            b = next((x for x in bins if x != donor), None)
+            if b is None or self.fill[b] < low:
                 continue
-            for i in mine:  # move
-                if sizes[i] <= room:
-                    if best is None or sizes[i] - room > best[0]:
-                        best = (sizes[i] - room, b, [i], [])
-                    break
-            if best and best[0] == 0:
-                break
-            for j in self.items[b]:
-                for i in mine:  # one for one
-                    if 0 < (gain := sizes[i] - sizes[j]) <= room:
-                        if best is None or gain - room > best[0]:
-                            best = (gain - room, b, [i], [j])
-                        break
-                for size, two in pairs.items():  # two for one
-                    if 0 < (gain := size - sizes[j]) <= room and (best is None or gain - room > best[0]):
-                        best = (gain - room, b, two, [j])
+            room = self.capacity - self.fill[b]
+            returns = {0: [], **{sizes[j]: [j] for j in self.items[b]}}  # nothing (a move) or one piece
+            for back, piece in returns.items():
+                for totals, group in offers if back else offers[:1]:
+                    k = bisect_right(totals, back + room) - 1  # the most that fits
+                    if k >= 0 and totals[k] > back and (best is None or totals[k] - back - room > best[0]):
+                        best = (totals[k] - back - room, b, group[totals[k]], piece)
             if best and best[0] == 0:
                 break
         if best is None:
             return False
         _, b, out, back = best
+        for x in (donor, b):
+            alike[self._kind(x)].discard(x)
         for i in out:
             self.items[donor].remove(i)
             self.items[b].append(i)
@@ -176,6 +179,9 @@ class Bins:
         moved = sum(sizes[i] for i in out) - sum(sizes[j] for j in back)
         self.fill[donor] -= moved
         self.fill[b] += moved
+        for x in (donor, b):
+            if 0 < self.fill[x] < self.capacity:
+                alike[self._kind(x)].add(x)
         return True
 
 
@@ -190,13 +196,14 @@ def place(sizes: list[int], capacity: int = SEQUENCE) -> list[list[int]]:
 def pack(found: DataFrame, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to rows with a ``length``.
 
-    Rows are dealt evenly by a hash of doc_id and piece, so no key or source can crowd a group;
-    each task holds about ``group`` rows whatever the table's size. Repeated rows are packed
-    like any others, and an empty table gives an empty result.
+    Rows are dealt to groups in turn, by the number of the row, so no key, source or repeated row
+    can crowd a group; each task holds about ``group`` rows whatever the table's size. Ties
+    between equal lengths go either way. Repeated rows are packed like any others, a document of
+    any length is cut beforehand, and an empty table gives an empty result.
     """
     found = staged(found, "pieces")
     groups = max(1, -(-found.count() // group))
-    dealt = found.repartition(groups, F.xxhash64("doc_id", "piece") % F.lit(groups)) if groups > 1 else found.coalesce(1)
+    dealt = found.repartitionById(groups, F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int")) if groups > 1 else found.coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
