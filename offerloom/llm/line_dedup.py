@@ -27,6 +27,8 @@ from .components import components
 EDITS, LEAST = 2, 24
 #: Text bytes behind one task that gathers the lists.
 TASK_BYTES = 32 << 20
+#: Bytes of lines that go through the band at once, and the longest line that does.
+BAND_BYTES, LONG_LINE = 1 << 17, 1 << 13
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +75,66 @@ def signatures(hashed: RangeHash, start: np.ndarray, stop: np.ndarray) -> tuple[
 
 
 def within(a: list[bytes], b: list[bytes], edits: int = EDITS) -> np.ndarray:
-    """Which pairs of byte strings are within ``edits``, all pairs at once.
+    """Which pairs of byte strings are within ``edits``.
+
+    Ends that a pair shares are cut off, as edits never need to touch them. Pairs of like length
+    go through the band together, as many as ``BAND_BYTES`` hold; a pair with more than
+    ``LONG_LINE`` bytes left is followed along its diagonals instead, in jumps over equal bytes.
+    """
+    pairs = [_differing(x, y) for x, y in zip(a, b)]
+    size = np.array([max(len(x), len(y)) for x, y in pairs], np.int64)
+    good = np.zeros(len(pairs), bool)
+    for k in np.flatnonzero(size > LONG_LINE):
+        good[k] = _within_long(*pairs[k], edits)
+    order = np.argsort(size, kind="stable")[: int((size <= LONG_LINE).sum())]
+    while len(order):
+        n = max(1, int(((size[order] + 1) * np.arange(1, len(order) + 1) <= BAND_BYTES).sum()))
+        at, order = order[:n], order[n:]
+        good[at] = _band([pairs[k][0] for k in at], [pairs[k][1] for k in at], edits)
+    return good
+
+
+def _differing(x: bytes, y: bytes) -> tuple[bytes, bytes]:
+    """Both strings without the bytes they share at the start and then at the end."""
+    n = min(len(x), len(y))
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    differ = np.flatnonzero(u[:n] != v[:n])
+    head = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(u[::-1][: n - head] != v[::-1][: n - head])
+    tail = int(differ[0]) if len(differ) else n - head
+    return x[head : len(x) - tail], y[head : len(y) - tail]
+
+
+def _within_long(x: bytes, y: bytes, edits: int) -> bool:
+    """Furthest-reaching points: after each edit, how far along x every diagonal can be matched."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if abs(len(u) - len(v)) > edits:
+        return False
+
+    def slide(i: int, diagonal: int) -> int:
+        n, step = min(len(u) - i, len(v) - i - diagonal), 4096
+        for k in range(0, n, step):
+            p, q = u[i + k : i + min(n, k + step)], v[i + diagonal + k : i + diagonal + min(n, k + step)]
+            differ = np.flatnonzero(p != q)
+            if len(differ):
+                return i + k + int(differ[0])
+        return i + n
+
+    far = {0: slide(0, 0)}
+    for _ in range(edits):
+        reach = {}
+        for d in range(min(far) - 1, max(far) + 2):
+            # a byte of x changed, a byte of y inserted, a byte of x left out
+            starts = [far[e] + step for e, step in ((d, 1), (d - 1, 0), (d + 1, 1)) if e in far]
+            i = min(max(starts), len(u), len(v) - d)
+            if i >= 0 and i + d >= 0:
+                reach[d] = slide(i, d)
+        far = reach
+    return far.get(len(v) - len(u), -1) >= len(u)
+
+
+def _band(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
+    """Which pairs are within ``edits``, all pairs at once.
 
     A band of 2 * edits + 1 diagonals lies in the bits of one word per pair and moves down with
     every byte of b. Bit k of a column stands for the row of a that is k - edits below the
@@ -222,12 +283,7 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            order = np.argsort([len(x) for x in a], kind="stable")  # lines of like length side by side
-            good = np.zeros(len(a), bool)
-            for k in range(0, len(a), 512):
-                at = order[k : k + 512]
-                good[at] = within([a[i] for i in at], [b[i] for i in at])
+            good = within(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good))
 
     with_u = pairs.join(known.select(F.col("node").alias("u"), F.col("line").alias("a")), "u")
@@ -239,7 +295,7 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
-    posts = staged(_shared(_entries(docs, 8 * parts).repartition(parts, "part")), "line-lists")
+    posts = staged(_shared(_entries(docs, parts).repartitionById(parts, "part")), "line-lists")
     release_shuffles(spark)
     known = staged(contents(docs).join(posts.select("node").distinct(), "node").dropDuplicates(["node"]), "lines")
     release_shuffles(spark)
