@@ -32,6 +32,8 @@ SKETCH = 1 << 17
 EXTRA = 40
 #: A list of more nodes than this is crowded, and the neighbours that a node of one tries a round.
 CROWD, TRIES = 8, 12
+#: Nodes of a crowded list that stand in one order; longer lists are split anew in each round.
+LANE = 1_024
 
 
 @dataclass(frozen=True)
@@ -203,7 +205,7 @@ def links(docs: DataFrame, found: DataFrame, sketch: np.ndarray, measure: Measur
     """node and root of all nodes that have a link."""
     spark = docs.sparkSession
     first = staged(prefixes(docs, measure, sketch), "prefixes")
-    lists = first.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token", (F.col("size") > CROWD).alias("crowded"))
+    lists = first.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token", (F.col("size") > CROWD).alias("crowded"), F.ceil(F.col("size") / LANE).alias("lanes"))
     posts = staged(first.join(lists, "token").dropDuplicates(["token", "node"]), "posts")
     discard(first)
     release_shuffles(spark)
@@ -247,11 +249,12 @@ def links(docs: DataFrame, found: DataFrame, sketch: np.ndarray, measure: Measur
 
     # A crowd may be alike without being like its leader. So each node of a crowded list also
     # tries its neighbour in an order that differs from list to list, TRIES of them per round, as
-    # long as that still joins a good part of the components that are left.
+    # long as that still joins a good part of the components that are left. This decides only how
+    # soon links are found: the last step is exact whatever the rounds have left.
     edges, open_, turn = stars, still_open(stars), 0
     while True:
         turn += 1
-        order = Window.partitionBy("token").orderBy(F.xxhash64("node", "token", F.lit(turn)))
+        order = Window.partitionBy("token", F.pmod(F.xxhash64("node", F.lit(turn)), "lanes")).orderBy(F.xxhash64("node", "token", F.lit(turn)))
         beside = open_.where("crowded").withColumn("x", F.lead(F.struct(F.col("node").alias("v"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("h").alias("h2"), F.col("root").alias("root2"))).over(order))
         beside = beside.select(F.col("node").alias("u"), "n", "pos", "h", "root", "x.*").where((F.col("root") != F.col("root2")) & measure.possible("n", "pos", "m", "at") & (F.least("h", "h2") >= measure.missing("n", "m")))
         tried = beside.select("u", "v").distinct().withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v")))).where(F.col("k") <= TRIES)

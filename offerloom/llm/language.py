@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ids_and_texts, mix, slices, small_batches, staged, text_buffer
@@ -122,16 +122,19 @@ def remainder(n: int):
 
 
 def train(docs: DataFrame) -> Filters:
-    """Learn from text and lang of rows with both; a bounded sample by hash of doc_id.
+    """Learn from text and lang of rows with both; a bounded sample by hash of doc_id, with as
+    many documents of each language as there are, up to its part of ``TRAIN_DOCS``.
 
     Counts of n-grams are summed on the executors; only each language's ``GRAMS`` best come to
-    the driver.
+    the driver. Null texts and langs, empty tables and repeated rows are all right; very long texts
+    are counted whole. Ties go to the language with more documents, then by name.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    n = docs.where(F.col("lang").isNotNull()).count()
-    if n > TRAIN_DOCS:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(TRAIN_DOCS / n * (1 << 30)))
+    sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "lang").limit(TRAIN_DOCS), "language-sizes")
+    each = TRAIN_DOCS // max(1, sizes.count())
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("size")
+    rows = rows.join(sizes, "lang").where(chance < each * (1 << 30)).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,23 +150,25 @@ def train(docs: DataFrame) -> Filters:
     totals = {r[0]: r[1] for r in per.groupBy("lang").agg(F.sum("times")).collect()}
     if not totals:
         return build([], [])
-    languages = sorted(totals, key=lambda x: (-totals[x], x))
+    place = {r[0]: k for k, r in enumerate(sizes.orderBy(F.desc("size"), "lang").collect())}
+    languages = sorted(totals, key=lambda x: place[x])
     all_of = F.create_map(*[F.lit(v) for x in totals.items() for v in x])
     part = per.withColumn("share", F.col("times") / all_of[F.col("lang")])
     most = part.groupBy("code").agg(F.max("share").alias("most"))
-    chosen = staged(part.join(most, "code").where((F.col("times") >= 2) & (F.col("share") >= SHARE * F.col("most"))).select("lang", "code", "times"), "language-sets")
-    sets = []
-    for lang in languages:
-        top = chosen.where(F.col("lang") == lang).orderBy(F.desc("times"), "code").limit(GRAMS)
-        sets.append(np.array([r[0] for r in top.select("code").collect()], np.int64))
-    return build(languages, sets)
+    chosen = part.join(most, "code").where((F.col("times") >= 2) & (F.col("share") >= SHARE * F.col("most")))
+    best = Window.partitionBy("lang").orderBy(F.desc("times"), "code")
+    sets: dict[str, list[int]] = {x: [] for x in languages}
+    for r in chosen.withColumn("n", F.row_number().over(best)).where(F.col("n") <= GRAMS).select("lang", "code").collect():
+        sets[r[0]].append(r[1])
+    return build(languages, [np.array(sets[x], np.int64) for x in languages])
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred, score of every row; reads nothing but the text.
 
     ``und`` with score 0 for null texts and texts without a letter; a text whose n-grams no
-    filter knows gets the most frequent language with score 0. Repeated rows repeat.
+    filter knows gets the most frequent language with score 0. Texts of any length count whole;
+    repeated rows repeat; other columns never matter; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
 

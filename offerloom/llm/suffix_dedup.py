@@ -411,8 +411,7 @@ def spans(docs: DataFrame) -> DataFrame:
     hot = hot_files(docs, total, parts)
     settled = staged(_settle(_file_away(docs, parts, hot).repartitionById(parts, "part")), "settled")
     release_shuffles(spark)
-    unsure = _cut_out(docs, settled.where("file IS NOT NULL"), parts).repartitionById(parts, "part")
-    compared = staged(_compare(unsure), "compared")
+    compared = staged(_compare(_cut_out(docs, settled.where("file IS NOT NULL"), parts).repartitionById(parts, "part")), "compared")
     release_shuffles(spark)
     found = settled.where("file IS NULL").drop("file").unionByName(compared)
     return found.unionByName(_hot_spans(docs, hot)) if len(hot) else found

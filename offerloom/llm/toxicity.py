@@ -205,7 +205,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted of every row from its whole text; null texts count as empty."""
+    """doc_id, score, predicted of every row from its whole text, however long; null texts count as
+    empty. Repeated rows repeat; a score of exactly one half counts as toxic; other columns never
+    matter; an empty table gives an empty result."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +220,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a score under one half, with all their columns; no shuffle."""
+    """The rows of ``docs`` with a score under one half, with all their columns, whatever their
+    names; no shuffle. Null texts count as empty, a null doc_id makes no difference, repeated rows
+    go or stay together, and an empty table gives an empty result."""
     small_batches(docs.sparkSession)
     schema, names = docs.schema, docs.columns
     where = names.index("text")
