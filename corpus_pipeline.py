@@ -27,7 +27,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space, the longest original stays, then the smallest
     doc_id, then one of repeated rows. Null counts as empty, so one empty text stays."""
-    return exact_dedup.keep_first(docs, exact_dedup.fresh_index(spark))
+    return exact_dedup.keep_first(docs, exact_dedup.fresh_index(spark), written=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,10 +57,16 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of plans that are no longer referenced."""
+    """Let Spark drop shuffle files of plans that are no longer referenced.
+
+    The JVM learns of frames that Python has dropped with the next call, so one goes ahead of
+    the collection.
+    """
     import gc
 
     gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.nanoTime()
     spark.sparkContext._jvm.System.gc()
 
 

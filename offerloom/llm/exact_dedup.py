@@ -84,13 +84,15 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"{scratch_dir(spark).rstrip('/')}/digest-index-{uuid.uuid4().hex}")
 
 
-def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def keep_first(docs: DataFrame, index: DigestIndex, written: bool = False) -> DataFrame:
     """The rows of ``docs`` that :func:`dedup` keeps, with all their columns, whatever their names.
 
-    The rows are numbered once, in a written table: numbers of a second reading could differ.
+    The rows are numbered once, in a written table: numbers of a second reading could differ. Say
+    ``written`` if ``docs`` reads a written table as it is, which has the same numbers each time.
     """
     number, kept = unused(docs, "__row", "__kept")
-    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    numbered = numbered if written else staged(numbered, "numbered")
     stays = dedup(numbered, index, number).where("kept").select(F.col("row").alias(kept))
     return numbered.join(stays, numbered[number] == stays[kept], "left_semi").drop(number)
 
