@@ -36,7 +36,8 @@ LENGTH = 50
 GRAM = 20
 #: Longest run of windows in one string.
 RUN = 200
-#: Text bytes behind one task that settles files, and bytes of strings in one shard.
+#: Text bytes behind one task that settles files, or string bytes of one that compares them, and
+#: bytes of strings in one shard.
 TASK_BYTES, SHARD_BYTES = 12 << 20, 1 << 19
 #: Bytes of strings whose files a task refines at once (one file at least).
 GROUP_BYTES = 2 << 20
@@ -410,8 +411,11 @@ def spans(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     hot = hot_files(docs, total, parts)
     settled = staged(_settle(_file_away(docs, parts, hot).repartitionById(parts, "part")), "settled")
-    release_shuffles(spark)
-    compared = staged(_compare(_cut_out(docs, settled.where("file IS NOT NULL"), parts).repartitionById(parts, "part")), "compared")
+    unsure = settled.where("file IS NOT NULL")
+    strings = unsure.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]  # overlap, so up to some times the text
+    release_shuffles(spark)  # after the sum: only another query lets go of the plan that wrote the table
+    parts = max(parts, -(-strings // TASK_BYTES))
+    compared = staged(_compare(_cut_out(docs, unsure, parts).repartitionById(parts, "part")), "compared")
     release_shuffles(spark)
     found = settled.where("file IS NULL").drop("file").unionByName(compared)
     return found.unionByName(_hot_spans(docs, hot)) if len(hot) else found
