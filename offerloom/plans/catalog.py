@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pages, registry, state, text, warehouse
+from . import ingest, pages, registry, state, text, warehouse
 
-MODULES = [warehouse, text, pages, state, registry]
+MODULES = [warehouse, text, pages, state, registry, ingest]
 
 
 def queries() -> dict:
