@@ -1,10 +1,12 @@
 """Exact inner-product top-k: branch and bound over one ball tree per shard.
 
-Vectors are dealt to shards of a bounded size; each shard gets a ball tree. A query first
-searches its own shard; its kth score there is a true lower bound that it carries, shared,
-into the search of every other shard. In a tree, nodes whose upper bound
-``q . centre + |q| radius`` lies below the bound are cut off with all below them; the leaves
-left are visited by upper bound, best first, until none can improve the kth score.
+Vectors go to the nearest of a bounded number of pivots, and the vectors of a pivot to shards of a
+bounded size; each shard gets a ball tree. A query first searches one shard of its own pivot, then
+the pivots with the highest upper bounds, then what is left. The kth score found so far is a
+true lower bound that it carries, shared, into every later search: pivots whose upper bound
+``q . pivot + |q| radius`` lies below it are not visited and their trees are not sent. In a tree,
+nodes whose bound lies below it are cut off with all below them; the leaves left are visited by
+upper bound, best first, until none can improve the kth score.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ TOP = 20
 SCALE = 64.0
 #: Vectors of a shard, queries of a block, vectors of a leaf.
 SHARD, BLOCK, LEAF = 16_384, 1_024, 256
+#: Most pivots (they travel to every task), and pivots that a query visits before the rest.
+PIVOTS, AHEAD = 256, 2
 LONG = (1 << 63) - 1
 
 
@@ -192,6 +196,72 @@ def _search(block: pa.Table, trees: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("score", pa.int64()), ("vec_id", pa.int64())]))
 
 
+class Pivots:
+    """At most ``PIVOTS`` vectors, and the radius that holds all vectors nearest to each."""
+
+    def __init__(self, rows: list[bytes]):
+        self.points, self.radius = matrix(rows), np.full(len(rows), np.inf)
+
+    def _widened(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width = max(v.shape[1], self.points.shape[1])
+        return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (v, self.points))
+
+    def nearest(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The pivot of each vector and its distance."""
+        v, p = self._widened(matrix(rows))
+        with np.errstate(over="ignore", invalid="ignore"):
+            at = np.nan_to_num((p**2).sum(axis=1) - 2 * (v @ p.T), nan=np.inf).argmin(axis=1)
+            return at, np.sqrt(((v - p[at]) ** 2).sum(axis=1))
+
+    def bounds(self, rows: list[bytes]) -> np.ndarray:
+        """No product of a query (row) with a vector of the pivot (column) is larger."""
+        q, p = self._widened(matrix(rows))
+        norms = np.sqrt((q**2).sum(axis=1))[:, None]
+        with np.errstate(over="ignore", invalid="ignore"):
+            upper = q @ p.T + norms * self.radius[None, :]
+            return np.nan_to_num(upper + 1e-9 * np.abs(upper) + 1e-6 * (1 + norms), nan=np.inf)
+
+    def attach(self, vectors: DataFrame) -> DataFrame:
+        """vec_id, v, pivot and gap, the distance to it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, gap = self.nearest(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int32()), pa.array(gap, pa.float64())], names=["vec_id", "v", "pivot", "gap"])
+
+        return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v binary, pivot int, gap double")
+
+    def within_reach(self, queries: DataFrame) -> DataFrame:
+        """vec_id, v, kth, block, and ``to``: pivots that can reach kth, highest bound first."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                upper = self.bounds(batch.column(1).to_pylist())
+                kth = np.array([-np.inf if x is None else x for x in batch.column(2).to_pylist()])
+                turn = np.argsort(-upper, axis=1, kind="stable")
+                to = [[int(p) for p in turn[i] if not upper[i, p] < kth[i]] for i in range(len(kth))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to, pa.list_(pa.int32()))], names=["vec_id", "v", "kth", "block", "to"])
+
+        return queries.select("vec_id", "v", "kth", "block").mapInArrow(run, "vec_id long, v binary, kth long, block long, to array<int>")
+
+
+def distinct_enough(vectors: DataFrame) -> DataFrame:
+    """Of equal vectors the ``TOP`` + 1 smallest ids: no query, its own row apart, can return another.
+
+    Repeated rows of one id all stay. Ranks are cut before the shuffle, so a crowd of equal
+    vectors never meets in one task.
+    """
+    place = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    return vectors.withColumn("__place", place).where(F.col("__place") <= TOP + 1).drop("__place")
+
+
+def _parts(sizes: dict[int, int], most: int, seed: int, wide: int) -> tuple:
+    """Column of the part of a row: its pivot's number and one of as many parts as its size asks."""
+    each = {p: max(1, -(-n // most)) for p, n in sizes.items()}
+    count = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for pair in each.items() for x in pair]), F.col("pivot")), F.lit(1)) if each else F.lit(1)
+    return F.col("pivot").cast("long") * wide + F.pmod(F.xxhash64("vec_id", F.lit(seed)), count), count
+
+
 def top_k(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, rank, vec_id, score: the ``TOP`` best rows for each query, none its own.
 
@@ -199,30 +269,56 @@ def top_k(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     vec_id. Repeated candidate rows each count; a repeated query row counts once. Empty tables
     give an empty result.
     """
-    found = "query_id long, score long, vec_id long"
-    vectors = staged(vectors, "vectors")
+    found, wide = "query_id long, score long, vec_id long", 1 << 32
+    vectors = staged(distinct_enough(vectors), "vectors")
     n = vectors.count()
-    shards = max(1, -(-n // SHARD))
-    of_shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
+    first = vectors.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(min(PIVOTS, max(1, -(-n // SHARD))))
+    pivots = Pivots([bytes(r.v) for r in first.select("v").collect()] or [b""])
+    placed = staged(pivots.attach(vectors), "placed")
+    summed = {r.pivot: r for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()}
+    pivots.radius = np.array([summed[p].radius if p in summed else -np.inf for p in range(len(pivots.points))])
+    pivots.radius[np.isnan(pivots.radius)] = np.inf
+    sizes = {p: r.n for p, r in summed.items()}
+    shard, _ = _parts(sizes, SHARD, 1, wide)
 
     def build(rows: pa.Table) -> pa.Table:
         ids = np.array(_column(rows, "vec_id"), np.int64)
         tree = BallTree(ids, matrix(_column(rows, "v")))
-        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "tree": pa.array([tree.dump()], pa.binary())})
-
-    trees = staged(vectors.withColumn("shard", of_shard).groupBy("shard").applyInArrow(build, "shard int, tree binary"), "trees")
-    queries = staged(queries.dropDuplicates(["vec_id", "v"]).withColumn("shard", of_shard).withColumn("block", F.lit(0)), "queries")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    own = queries.withColumn("kth", F.lit(None).cast("long"))
-    home = staged(own.groupBy("shard").cogroup(trees.groupBy("shard")).applyInArrow(_search, found), "home")
-    kth = home.groupBy("query_id").agg(F.when(F.count("score") >= TOP, F.min("score")).alias("kth"))
-    rest = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").select(
-        "vec_id", "v", "kth", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))).alias("shard")
-    )
-    copies = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    away = rest.groupBy("block", "shard").cogroup(copies.groupBy("block", "shard")).applyInArrow(_search, found)
-    ranked = home.unionByName(away).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
+        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int64()), "tree": pa.array([tree.dump()], pa.binary())})
+
+    trees = staged(placed.select("vec_id", "v", shard.alias("shard")).groupBy("shard").applyInArrow(build, "shard long, tree binary"), "trees")
+    asked = staged(pivots.attach(queries.dropDuplicates(["vec_id", "v"])), "queries")
+    crowd = {r["pivot"]: r["count"] for r in asked.groupBy("pivot").count().collect()}
+    block, _ = _parts(crowd, BLOCK, 2, wide)  # queries near each other share a block, so it needs few trees
+    asked = asked.select("vec_id", "v", "pivot", shard.alias("home"), block.alias("block"))
+
+    def search(pairs: DataFrame, name: str) -> DataFrame:
+        """Results of (vec_id, v, kth, block, shard); a tree goes to the blocks that ask for it."""
+        needed = staged(pairs.select("block", "shard").distinct(), "needed").join(trees, "shard")
+        return staged(pairs.groupBy("block", "shard").cogroup(needed.groupBy("block", "shard")).applyInArrow(_search, found), name)
+
+    def best(results: DataFrame) -> DataFrame:
+        return results.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= TOP)
+
+    def reached(results: DataFrame) -> DataFrame:
+        """Queries with their kth score so far and the shards that can still better it."""
+        kth = best(results).groupBy("query_id").agg(F.when(F.count("score") >= TOP, F.min("score")).alias("kth"))
+        known = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left")
+        to = pivots.within_reach(known).select("*", F.posexplode("to").alias("turn", "pivot"))
+        _, count = _parts(sizes, SHARD, 1, wide)
+        shards = to.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1), lambda s: F.col("pivot").cast("long") * wide + s)))
+        homes = asked.select("vec_id", "v", F.col("home").alias("shard"))
+        return shards.drop("to", "pivot").join(homes, ["vec_id", "v", "shard"], "left_anti")
+
+    pairs = ["vec_id", "v", "kth", "block", "shard"]
+    home = search(asked.select("vec_id", "v", F.lit(None).cast("long").alias("kth"), "block", F.col("home").alias("shard")), "home")
+    if trees.limit(2).count() < 2:
+        return best(home).select("query_id", "rank", "vec_id", "score")
+    near = staged(reached(home).where(F.col("turn") < AHEAD).select(*pairs), "near")
+    close = home.unionByName(search(near, "close"))
+    rest = reached(close).join(near.select("vec_id", "v", "shard"), ["vec_id", "v", "shard"], "left_anti")
+    away = search(staged(rest.select(*pairs), "rest"), "away")
+    return best(close.unionByName(away)).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
