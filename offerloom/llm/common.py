@@ -181,9 +181,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, stop and row of every word ``[^\\x20\\x09-\\x0D]+``; words never cross rows."""
-    inside = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and row of every word; ``outside`` marks the bytes that no word holds, white
+    space ``[\\x20\\x09-\\x0D]`` if not given. Words never cross rows."""
+    inside = ~outside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.zeros(len(data), bool)
@@ -197,3 +198,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The hash of every word; long texts are hashed in runs of about ``SLICE_BYTES``."""
+    out = np.zeros(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        low = start[first]
+        last = max(first + 1, int(np.searchsorted(stop, low + SLICE_BYTES, "right")))
+        out[first:last] = RangeHash(data[low : stop[last - 1]])(start[first:last] - low, stop[first:last] - low)
+        first = last
+    return out
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for ``length[0]`` numbers, then the same for the next range."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(int(length.sum()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, exact_dedup, jaccard, language, line_dedup, packing, suffix_dedup, topk, toxicity
+from . import bpe, chunk_dedup, clustering, collocations, decontaminate, exact_dedup, jaccard, language, line_dedup, packing, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.query,
         "op9_exact_top_k": topk.query,
         "op10_best_fit_packing": packing.query,
+        "op11_decontamination": decontaminate.query,
+        "op12_clustering": clustering.query,
+        "op13_collocations": collocations.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE, "op9_exact_top_k": topk.ORACLE}
+    return {
+        "op7_exact_dedup": exact_dedup.ORACLE,
+        "op9_exact_top_k": topk.ORACLE,
+        "op11_decontamination": decontaminate.ORACLE,
+        "op12_clustering": clustering.ORACLE,
+        "op13_collocations": collocations.ORACLE,
+    }

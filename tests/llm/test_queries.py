@@ -5,16 +5,19 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from offerloom.llm import exact_dedup, topk
+from offerloom.llm import clustering, collocations, decontaminate, exact_dedup, topk
 from offerloom.llm.jaccard import Measure, join
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, sql", [("op7_exact_dedup", exact_dedup.ORACLE), ("op9_exact_top_k", topk.ORACLE)])
+@pytest.mark.parametrize("name, sql", [
+    ("op7_exact_dedup", exact_dedup.ORACLE), ("op9_exact_top_k", topk.ORACLE), ("op11_decontamination", decontaminate.ORACLE),
+    ("op12_clustering", clustering.ORACLE), ("op13_collocations", collocations.ORACLE),
+])
 def test_sql(spark, name, sql):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     got = __spark_entry__.queries()[name](spark, FOLDER)
     want = con.sql(sql)
@@ -24,7 +27,7 @@ def test_sql(spark, name, sql):
 
 def test_names():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
