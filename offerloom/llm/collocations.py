@@ -26,12 +26,12 @@ MAX_N, LEAST, TOP = 4, 30, 2000
 PART, OF = 80, 100
 SCALE = 2_000_000
 UNKNOWN = "und"
-#: Bytes of a slice of texts whose equal suffixes are summed together.
-SLICE = 4 << 20
 #: Documents of the sample that finds hot prefixes; a prefix is hot if it starts more than one in
 #: HOT_SHARE suffixes (or in four times the number of tasks, if that is less). So no more than HOT_SHARE
 #: prefixes of a length are hot. They decide where suffixes go, never what is counted.
-HOT_DOCS, HOT_SHARE = 20_000, 16_384
+HOT_DOCS, HOT_SHARE = 4_000, 16_384
+#: A language stands before its phrases as one word, so signs that part words are written as codes.
+CODES = [("%", "%25"), (" ", "%20")]
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -50,7 +50,8 @@ def suffixes(texts: pa.Array, max_n: int = MAX_N) -> tuple[np.ndarray, pa.Array]
     data, offsets = text_buffer(texts)
     data = lower_ascii(data)
     start, stop, row = word_spans(data, offsets, OUTSIDE)
-    breaks = np.concatenate([[0], np.cumsum(BREAK[data])])
+    breaks = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(BREAK[data], out=breaks[1:])
     joint = np.zeros(len(start), bool)  # the next word goes on with this one's piece
     joint[:-1] = (row[1:] == row[:-1]) & (breaks[start[1:]] == breaks[stop[:-1]])
     last, more = np.arange(len(start)), np.ones(len(start), bool)
@@ -58,27 +59,27 @@ def suffixes(texts: pa.Array, max_n: int = MAX_N) -> tuple[np.ndarray, pa.Array]
         more = more & joint[last]
         last = last + more
     length = stop - start
-    plain = np.full(int(length.sum()) + len(start), 0x20, np.uint8)
     end = np.cumsum(length + 1)
     begin = end - length - 1
-    plain[ranges(begin, length)] = data[ranges(start, length)]
+    letter = np.ones(int(length.sum()) + len(start), bool)
+    letter[end - 1] = False
+    plain = np.full(len(letter), 0x20, np.uint8)
+    plain[letter] = data[~OUTSIDE[data]]
     return row, strings(plain, begin, end[last] - begin)
 
 
 def _suffix_rows(docs: DataFrame, max_n: int) -> DataFrame:
-    """lang, suffix, n: the suffixes of all texts, equal ones of a slice summed."""
+    """suffix, n: the suffixes of all texts after their language, equal ones of a slice summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=SLICE):
+            for part in slices(batch):
                 row, suffix = suffixes(part.column(1), max_n)
-                lang = part.column(0).cast(pa.string()).dictionary_encode()
-                both = pa.table({"lang": pa.DictionaryArray.from_arrays(lang.indices.take(pa.array(row)), lang.dictionary), "suffix": suffix})
-                both = both.group_by(["lang", "suffix"], use_threads=False).aggregate([([], "count_all")])
-                for some in both.to_batches(max_chunksize=1 << 16):
-                    yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.string()), some.column(1).cast(pa.string()), some.column(2)], names=["lang", "suffix", "n"])
+                lang = part.column(0).cast(pa.large_string()).take(pa.array(row))
+                found = pc.binary_join_element_wise(lang, suffix, pa.scalar(" ", pa.large_string())).value_counts()
+                yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], names=["suffix", "n"])
 
-    return docs.mapInArrow(run, "lang string, suffix string, n long")
+    return docs.mapInArrow(run, "suffix string, n long")
 
 
 class PrefixStack:
@@ -86,33 +87,33 @@ class PrefixStack:
 
     The stack holds the prefixes of the last suffix, shortest first, each with its count so far; a
     prefix is complete when the next suffix does not have it. Runs inside a batch are counted
-    as whole arrays.
+    as whole arrays. Prefixes with a count of ``least`` are kept, and those of ``hot`` with any.
     """
 
-    def __init__(self, max_n: int, least: int, hot: set[str]):
-        self.max_n, self.least = max_n, least
-        self.hot = {k: pa.array(sorted(p for p in hot if p.count(" ") == k - 1), pa.large_string()) for k in range(1, max_n)}
+    def __init__(self, levels: int, least: int, hot: set[str]):
+        self.levels, self.least = levels, least
+        self.hot = {k: pa.array(sorted(p for p in hot if p.count(" ") == k - 1), pa.large_string()) for k in range(2, levels)}
         self.open: list[list] = []
         self.done: list[tuple[int, pa.Array, np.ndarray]] = []
-        self.total = 0
 
-    def _emit(self, words: int, phrases: pa.Array, counts: np.ndarray) -> None:
-        keep = counts >= self.least
-        if words in self.hot and len(self.hot[words]):  # other tasks may hold the rest of a hot prefix
-            keep |= np.asarray(pc.is_in(phrases, value_set=self.hot[words]))
+    def _any(self, level: int) -> bool:
+        """Other tasks may hold the rest of a language and of hot prefixes."""
+        return level == 1 or len(self.hot.get(level, ())) > 0
+
+    def _emit(self, level: int, prefixes: pa.Array, counts: np.ndarray) -> None:
+        keep = (counts >= self.least) | (level == 1)
+        if level > 1 and self._any(level):
+            keep |= np.asarray(pc.is_in(prefixes, value_set=self.hot[level]))
         if keep.any():
-            self.done.append((words, phrases.filter(pa.array(keep)), counts[keep]))
+            self.done.append((level, prefixes.filter(pa.array(keep)), counts[keep]))
 
-    def close(self, words: int) -> None:
-        """Pop all open prefixes of more than ``words`` words."""
-        while len(self.open) > words:
-            phrase, count = self.open.pop()
-            self._emit(len(self.open) + 1, pa.array([phrase], pa.large_string()), np.array([count], np.int64))
+    def close(self, level: int) -> None:
+        """Pop all open prefixes beyond ``level``."""
+        while len(self.open) > level:
+            prefix, count = self.open.pop()
+            self._emit(len(self.open) + 1, pa.array([prefix], pa.large_string()), np.array([count], np.int64))
 
     def push(self, suffix: pa.Array, n: np.ndarray) -> None:
-        if not len(suffix):
-            return
-        self.total += int(n.sum())
         data, offsets = text_buffer(suffix)
         spaces = np.flatnonzero(data == 0x20)
         first = np.searchsorted(spaces, offsets[:-1])
@@ -121,7 +122,7 @@ class PrefixStack:
         same = np.zeros(len(n), bool)  # this prefix is that of the row before
         same[1:] = True
         levels = []
-        for k in range(1, self.max_n + 1):
+        for k in range(1, self.levels + 1):
             has = reach >= k
             end = np.where(has, spaces[np.minimum(first + k - 1, len(spaces) - 1)], offsets[1:])
             same[1:] &= has[1:] & has[:-1]
@@ -130,11 +131,10 @@ class PrefixStack:
             runs = np.flatnonzero(has & ~same)
             if not len(runs):
                 break
-            counts = np.add.reduceat(np.where(has, n, 0), runs)
-            levels.append((runs, counts, end))
+            levels.append((runs, np.add.reduceat(np.where(has, n, 0), runs), end))
             begin = end + 1
         common = 0
-        while common < min(len(self.open), int(reach[0])) and self.open[common][0] == data[offsets[0] : levels[common][2][0]].tobytes().decode():
+        while common < min(len(self.open), int(reach[0])) and self.open[common][0] == data[: levels[common][2][0]].tobytes().decode():
             common += 1
         self.close(common)
         after = []
@@ -144,74 +144,60 @@ class PrefixStack:
             if k <= reach[-1]:
                 after.append([data[offsets[runs[-1]] : end[runs[-1]]].tobytes().decode(), int(counts[-1])])
                 runs, counts = runs[:-1], counts[:-1]
-            maybe = counts >= self.least if k not in self.hot or not len(self.hot[k]) else np.ones(len(runs), bool)
-            runs, counts = runs[maybe], counts[maybe]
+            if not self._any(k):
+                runs, counts = runs[counts >= self.least], counts[counts >= self.least]
             if len(runs):
                 self._emit(k, strings(data, offsets[runs], end[runs] - offsets[runs]), counts)
         self.open = after
 
+    def take(self) -> Iterator[pa.RecordBatch]:
+        for level, prefixes, counts in self.done:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), level - 1, np.int32)), prefixes.cast(pa.string()), pa.array(counts, pa.int64())], names=["words", "phrase", "n"])
+        self.done.clear()
+
 
-def _hot(docs: DataFrame, max_n: int, share: int) -> set[tuple[str, str]]:
-    """(lang, phrase) of the prefixes that start more than one in ``share`` suffixes of a sample."""
+def _hot(docs: DataFrame, max_n: int, share: int) -> set[str]:
+    """The prefixes that start more than one in ``share`` suffixes of a sample of documents."""
     size = docs.count()
-    rows = _suffix_rows(docs.where(F.pmod(F.xxhash64("suffix"), F.lit(1 << 30)) * F.lit(size) < HOT_DOCS * (1 << 30)) if size > HOT_DOCS else docs, max_n)
-    cuts = F.array(*[F.struct(F.lit(k).alias("k"), F.substring_index("suffix", " ", k).alias("phrase")) for k in range(1, max_n)])
-    found = rows.select("lang", "n", F.inline(cuts)).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    found = staged(found.where(~F.col("phrase").endswith(" ")), "hot-prefixes")
-    all_ = found.where("k = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return {(r[0], r[1]) for r in found.where(F.col("n") * share > all_).select("lang", "phrase").collect()}
+    rows = _suffix_rows(docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) * F.lit(size) < HOT_DOCS * (1 << 30)), max_n)
+    cuts = F.explode(F.array(*[F.substring_index("suffix", " ", k) for k in range(2, max_n + 1)])).alias("prefix")
+    found = staged(rows.select("n", cuts).where("prefix NOT LIKE '% '").groupBy("prefix").agg(F.sum("n").alias("n")), "hot-prefixes")
+    all_ = found.where("length(prefix) - length(replace(prefix, ' ', '')) = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return {r[0] for r in found.where(F.col("n") * share > all_).select("prefix").collect()}
 
 
 def count_phrases(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
-    """lang, words, phrase, n: every phrase of up to ``max_n`` words that occurs ``least`` times in its
-    language, and a row with 0 words and a null phrase for all word occurrences of a language."""
+    """words, phrase, n: every phrase of up to ``max_n`` words that occurs ``least`` times in its language,
+    after that language (spaces as %20, percent signs as %25), which counts as no word; and each
+    language with 0 words and the number of all its words."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
+    for sign, code in CODES:
+        lang = F.replace(lang, F.lit(sign), F.lit(code))
+    rows = docs.select(lang.alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     share = min(HOT_SHARE, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = _hot(rows.withColumnRenamed("text", "suffix"), max_n, share)
+    hot = _hot(rows, max_n, share)
 
-    # Prefixes of k words that are not hot say where a suffix goes; so they lie in one task.
-    key = F.xxhash64("lang", "suffix")
-    for k in range(max_n - 1, 0, -1):
-        mine = F.xxhash64("lang", F.substring_index("suffix", " ", k))
-        known = spark.createDataFrame([x for x in hot if x[1].count(" ") == k - 1], "lang string, phrase string").select(F.xxhash64("lang", "phrase")).collect()
-        key = F.when(mine.isin([r[0] for r in known]), key).otherwise(mine) if known else mine
+    # The language and first word say where a suffix goes, if that is hot the next word too, and so on.
+    key = F.xxhash64("suffix")
+    for k in range(max_n, 1, -1):
+        mine = F.substring_index("suffix", " ", k)
+        known = [p for p in hot if p.count(" ") == k - 1]
+        key = F.when(mine.isin(known), key).otherwise(F.xxhash64(mine)) if known else F.xxhash64(mine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, stack = None, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for words, phrases, counts in stack.done:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([words] * len(counts), pa.int32()), phrases.cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "words", "phrase", "n"])
-            stack.done.clear()
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            stack.close(0)
-            yield from flush()
-            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.array([None], pa.string()), pa.array([stack.total], pa.int64())], names=["lang", "words", "phrase", "n"])
-
+        stack = PrefixStack(max_n + 1, least, hot)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = batch.column(0).dictionary_encode()
-            number = np.asarray(codes.indices)
-            edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
-            n = np.asarray(batch.column(2))
-            for a, b in zip(edges, edges[1:]):
-                mine = codes.dictionary[int(number[a])].as_py()
-                if mine != lang or stack is None:
-                    if stack is not None:
-                        yield from finish()
-                    lang, stack = mine, PrefixStack(max_n, least, {p for x, p in hot if x == mine})
-                stack.push(batch.column(1).slice(a, b - a), n[a:b])
-            yield from flush()
-        if stack is not None:
-            yield from finish()
-
-    dealt = _suffix_rows(rows, max_n).repartition(key).sortWithinPartitions("lang", F.desc("suffix"))
-    counted = dealt.mapInArrow(run, "lang string, words int, phrase string, n long")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
+            if batch.num_rows:
+                stack.push(batch.column(0), np.asarray(batch.column(1)))
+                yield from stack.take()
+        stack.close(0)
+        yield from stack.take()
+
+    dealt = _suffix_rows(rows, max_n).repartition(key).sortWithinPartitions(F.desc("suffix"))
+    counted = dealt.mapInArrow(run, "words int, phrase string, n long")
+    return counted.groupBy("words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
 
 
 def mine(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -222,32 +208,35 @@ def mine(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, top: int = TOP
     result; other columns are never read. Ties go to the larger count, then by the bytes of the phrase.
     """
     counts = staged(count_phrases(docs, max_n, least), "phrase-counts")
-    wide = "decimal(38,0)"
-    key = F.concat_ws("\t", "lang", "phrase").cast("binary")  # phrases have no tab, so the last one parts them
-    known = counts.where("words > 0").select(key.alias("key"), F.col("n").alias("f"))
-    candidates = counts.where("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"))
+    candidates = counts.where("words > 1").select("words", "phrase", F.col("n").alias("a"))
+    word, wide = F.split("phrase", " "), "decimal(38,0)"
+    part = lambda first, size: F.concat_ws(" ", word[0], F.array_join(F.slice(word, first + 1, size), " "))
 
     # What lies inside a longer candidate: its inner runs of words, with the largest count.
-    word = F.split("phrase", " ")
-    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("words") - m + 1), lambda s: F.array_join(F.slice(word, s, m), " "))))
-    around = candidates.where("words > 2").select("lang", F.explode(inner).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("around"))
-    kept = candidates.join(around, ["lang", "phrase"], "left").where(f"around IS NULL OR CAST({OF} AS {wide}) * around < CAST({PART} AS {wide}) * a").drop("around")
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("words") - m + 1), lambda first: part(first, m))))
+    around = candidates.where("words > 2").select(F.explode(inner).alias("phrase"), "a").groupBy("phrase").agg(F.max("a").alias("around"))
+    loose = F.col("around").isNull() | (F.col("around").cast(wide) * OF < F.col("a").cast(wide) * PART)
+    kept = candidates.join(around, "phrase", "left").where(loose)
 
     # Every cut of every phrase left asks for the counts of two parts; often asked ones are broadcast.
-    part = lambda a, b: F.concat_ws("\t", "lang", F.array_join(F.slice(word, a, b), " ")).cast("binary")
-    cuts = F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")
-    cut = staged(kept.select("*", cuts).select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("right")), "phrase-cuts")
-    total = cut.count()
+    cut = kept.select("words", "phrase", "a", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
+    sides = part(F.lit(1), F.col("k")).cast("binary").alias("left"), part(F.col("k") + 1, F.col("words") - F.col("k")).cast("binary").alias("right")
+    cut = staged(cut.select("phrase", "a", "k", *sides), "phrase-cuts")
+    total, known = cut.count(), counts.where("words > 0").select(F.col("phrase").cast("binary").alias("key"), F.col("n").alias("f"))
     for side, name in (("left", "l"), ("right", "r")):
         asked = cut.groupBy(side).agg(F.count(F.lit(1)).alias("asked"))
         answer = asked.join(known.withColumnRenamed("key", side), side)
         cut = attach(cut, answer, side, "asked", total, "part", ("phrase", "k")).withColumn(name, F.col("part.f")).drop("part")
     cut = cut.withColumn("score", F.expr(f"CAST({SCALE} AS DECIMAL(7,0)) * CAST(a AS DECIMAL(19,0)) DIV (CAST(l AS DECIMAL(19,0)) + r)"))
-    lowest = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("m.score"), F.desc("a"), "phrase"))
+    lowest = cut.groupBy("phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
+    lowest = lowest.select(F.substring_index("phrase", " ", 1).alias("lang"), F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase"), "a", "m.*")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     best = lowest.withColumn("rank", place).where(F.col("rank") <= top)
-    sizes = counts.where("words = 0").select("lang", F.col("n"))
-    return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", F.col("m.l").alias("l"), F.col("m.r").alias("r"), "n", F.col("m.score").alias("score"))
+    best = best.join(counts.where("words = 0").select(F.col("phrase").alias("lang"), "n"), "lang")
+    lang = F.col("lang")
+    for sign, code in reversed(CODES):
+        lang = F.replace(lang, F.lit(code), F.lit(sign))
+    return best.select(lang.alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
