@@ -28,7 +28,7 @@ PART, OF = 80, 100
 SCALE = 2_000_000
 UNKNOWN = "und"
 #: Bytes of a slice of texts whose equal suffixes are summed together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Documents of the sample that finds frequent words and hot prefixes; a prefix is hot if it starts more than
 #: one in HOT_SHARE suffixes (or in four times the number of tasks, if that is less). So no more
 #: than HOT_SHARE prefixes of a length are hot. They decide where suffixes go, never what is counted.
