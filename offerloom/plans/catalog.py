@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ingest, pages, registry, state, text, warehouse
+from . import changes, ingest, pages, profiles, records, registry, state, text, warehouse
 
-MODULES = [warehouse, text, pages, state, registry, ingest]
+MODULES = [warehouse, text, pages, state, registry, ingest, profiles, records, changes]
 
 
 def queries() -> dict:

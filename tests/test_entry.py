@@ -1,5 +1,6 @@
 """The entry module without the optional training-data part."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -19,6 +20,8 @@ def test_imports_without_the_optional_part(tmp_path, gone):
         elif source.exists() and part not in gone:
             shutil.copy(source, tmp_path / part)
     code = "import __spark_entry__ as e; n = e.queries(); e.oracle_sql(); print('pipeline' in n, 'op7_exact_dedup' in n, 'publish_candidates' in n)"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    # The child must not find the modules of the real folder, wherever the parent's path leads.
+    plain = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=plain, capture_output=True, text=True, timeout=120)
     has_llm = str("offerloom/llm" not in gone and (ROOT / "offerloom/llm").exists())
     assert done.stdout.split() == ["False", has_llm, "True"], done.stderr
