@@ -297,6 +297,15 @@ def redact(x: Column) -> Column:
     return F.regexp_replace(x, fixed.BOT_SECRET, "***REDACTED_TOKEN***")
 
 
+def sanitized(x: Column) -> Column:
+    """A text for a status page: redacted, then whole headers, named values and ids once more."""
+    x = F.regexp_replace(redact(F.nullif(x, F.lit(""))), fixed.URL_SECRET, "$1***REDACTED***:***REDACTED***@")
+    x = F.regexp_replace(x, fixed.HEADER_SECRET, "$1: ***REDACTED***")
+    for pattern in (fixed.GENERIC_SECRET, fixed.ID_SECRET):
+        x = F.regexp_replace(x, pattern, "$1=***REDACTED***")
+    return x
+
+
 def error_text(x: Column) -> Column:
     clean = F.regexp_replace(x, fixed.URL, "<url>")
     return F.when(F.char_length(clean) > 2000, F.concat(F.substring(clean, 1, 1997), F.lit("..."))).otherwise(clean)

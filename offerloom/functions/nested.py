@@ -1,7 +1,6 @@
 """Expressions that walk a value's type: canonical JSON, a tagged codec with a strict inverse, and redaction.
 
-The walk happens once, over the schema, and leaves plain expressions; rows never leave the JVM but for
-floats, whose shortest spelling Spark cannot give.
+The walk happens once, over the schema, and leaves plain expressions; rows never leave the JVM.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +19,27 @@ _CONTROL = {chr(k): f"\\u{k:04x}" for k in range(32) if chr(k) not in _NAMED}
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-@F.pandas_udf(T.StringType())
-def _float_text(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v != v or v in (float("inf"), float("-inf")) else repr(float(v)))
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` written once, however often ``f`` uses it; nested types stay linear so."""
+    return F.try_element_at(F.transform(F.array(x), f), F.lit(1))
+
+
+def float_text(x: Column) -> Column:
+    """The shortest text that reads back as the same double, as Python spells it; null if not finite."""
+
+    def spelled(s: Column) -> Column:
+        digits, e = F.replace(F.regexp_extract(s, r"^-?([0-9.]+)e", 1), F.lit("."), F.lit("")), F.regexp_extract(s, r"e([+-]\d+)$", 1).cast("int")
+        n = F.length(digits)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        whole = F.concat(digits, F.repeat(F.lit("0"), e + 1 - n), F.lit(".0"))
+        mixed = F.concat(F.left(digits, e + 1), F.lit("."), F.substring(digits, e + 2, n))
+        power = F.concat(F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+        plain = F.when((e < -4) | (e >= 16), power).when(e < 0, small).when(n <= e + 1, whole).otherwise(mixed)
+        return F.concat(F.when(s.startswith("-"), "-").otherwise(""), plain)
+
+    tries = F.array(*[F.format_string(f"%.{k}e", x) for k in range(17)])
+    found = _let(F.try_element_at(F.filter(tries, lambda t: t.cast("double") == x), F.lit(1)), spelled)
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), found)
 
 
 def json_string(x: Column) -> Column:
@@ -55,7 +71,7 @@ def canonical_json(x: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, (*_WHOLE, T.BooleanType)):
         whole = x.cast("string")
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        whole = _float_text(x.cast("double"))
+        whole = float_text(x.cast("double"))
     else:
         whole = json_string(_plain_text(x, kind))
     return F.when(x.isNull(), F.lit("null")).otherwise(whole)
@@ -97,7 +113,7 @@ def encode(x: Column, kind: T.DataType) -> Column:
     elif tag in ("int", "bool"):
         body = x.cast("string")
     elif tag == "float":
-        body = json_string(_float_text(x.cast("double")))
+        body = json_string(float_text(x.cast("double")))
     else:
         body = json_string(_plain_text(x, kind))
     return F.when(x.isNull(), F.lit('["null"]')).otherwise(F.concat(F.lit(f'["{tag}",'), body, F.lit("]")))
@@ -107,11 +123,6 @@ def payload_hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(x)`` with ``x`` written once, however often ``f`` uses it; nested types stay linear so."""
-    return F.try_element_at(F.transform(F.array(x), f), F.lit(1))
-
-
 def _result(value: Column, error: Column) -> Column:
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 

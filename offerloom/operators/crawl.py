@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
 from ..functions import fixed
+from ..sources.tables import settled
 
 
 def discover(seeds: DataFrame, links: DataFrame, depth: int, pages: int, urls: int) -> DataFrame:
@@ -36,6 +39,73 @@ def discover(seeds: DataFrame, links: DataFrame, depth: int, pages: int, urls: i
     return known
 
 
+def final_urls(redirects: DataFrame) -> DataFrame:
+    """url and final of every redirecting URL of ``redirects`` (url, target).
+
+    Chains are followed by doubling: each round joins the pointers with themselves, so n redirects take
+    log n rounds at the most. URLs whose chain never ends have a null final.
+    """
+    now = settled(redirects.where("url <> target").groupBy("url").agg(F.min("target").alias("final")))
+    for _ in range(now.count().bit_length() + 1):
+        ahead = now.select(F.col("url").alias("final"), F.col("final").alias("__next"))
+        moved = settled(now.join(ahead, "final", "left").select("url", F.coalesce("__next", "final").alias("final"), F.col("__next").isNotNull().alias("__moved")))
+        now = moved.drop("__moved")
+        if moved.where("__moved").isEmpty():
+            return now
+    endless = now.select(F.col("url").alias("final"), F.lit(True).alias("__endless"))
+    return now.join(endless, "final", "left").select("url", F.when(F.col("__endless").isNull(), F.col("final")).alias("final"))
+
+
+def crawl(seeds: DataFrame, links: DataFrame, redirects: DataFrame, depth: int, pages: int, urls: int) -> tuple[DataFrame, DataFrame]:
+    """(found, visited) of a breadth-first crawl that follows redirects, within its limits.
+
+    ``seeds``: url, position; ``links``: url, target, position, nofollow, by the URL where a page really
+    is; ``redirects``: url, target. Found: url, parent (where the link stood), depth, discovery_index;
+    visited: url, final_url, depth, discovery_index. A page is visited once, under its first URL: a URL that
+    an earlier visit has ended at is neither found nor visited again. No more than ``pages`` pages are
+    visited and ``urls`` URLs found; the page with one URL too many is the last. Pages whose redirects
+    never end are visited and give nothing. Each step starts from written tables, so its work does not
+    grow with the steps before it.
+    """
+    final = final_urls(redirects)
+    first = seeds.groupBy("url").agg(F.min("position").alias("discovery_index"))
+    level = settled(first.select("url", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), "discovery_index"))
+    known, ended = level.select("url"), level.select(F.col("url").alias("final_url"), F.lit(0).alias("order")).limit(0)
+    found, visited, opened, have = [], [], 0, 0
+    follow = links.where("NOT nofollow").select(F.col("url").alias("final_url"), F.col("target").alias("url"), "position")
+    for step in range(depth + 1):
+        resolved = level.join(final.withColumn("__redirects", F.lit(True)), "url", "left")
+        resolved = resolved.withColumn("final_url", F.when(F.col("__redirects"), F.col("final")).otherwise(F.col("url")))
+        ends = resolved.where("__redirects AND final IS NOT NULL").groupBy("final_url").agg(F.min("discovery_index").alias("order"))
+        before = ended.unionByName(ends).groupBy("final_url").agg(F.min("order").alias("__before"))
+        taken = before.withColumnRenamed("final_url", "url")
+        fresh = resolved.join(taken, "url", "left").where("__before IS NULL OR __before > discovery_index")
+        now = settled(fresh.select("url", "final_url", "depth", "discovery_index").orderBy("discovery_index").limit(max(0, pages - opened)))
+        visited.append(now)
+        opened += now.count()
+        if step == depth:
+            break
+        ended = settled(ended.unionByName(now.where("final_url IS NOT NULL").groupBy("final_url").agg(F.min("discovery_index").alias("order"))).groupBy("final_url").agg(F.min("order").alias("order")))
+        out = now.select("final_url", F.col("discovery_index").alias("__page")).join(follow, "final_url")
+        seen = out.groupBy("url").agg(F.min(F.struct("__page", "position", F.col("final_url").alias("parent"))).alias("s"))
+        seen = seen.join(known, "url", "left_anti").join(ended.withColumnRenamed("final_url", "url"), "url", "left").where("order IS NULL OR order > s.__page")
+        start = known.count()
+        # At most ``urls`` rows and one are numbered, so one ordered pass is enough; the one more ends the crawl.
+        kept = seen.orderBy("s.__page", "s.position", "url").limit(urls - have + 1)
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("s.__page", "s.position", "url"))
+        rows = settled(kept.select("url", F.col("s.parent").alias("parent"), F.lit(step + 1).alias("depth"), (place - 1 + start).alias("discovery_index"), F.col("s.__page").alias("__page")))
+        level = rows.where(F.col("discovery_index") < start + urls - have).drop("__page")
+        found.append(level)
+        if (last := rows.where(F.col("discovery_index") == start + urls - have).select("__page").first()) is not None:
+            visited[-1] = now.where(F.col("discovery_index") <= last[0])
+            break
+        have += rows.count()
+        known = settled(known.unionByName(level.select("url")))
+    empty = level.limit(0)
+    joined = lambda parts, none: reduce(DataFrame.unionByName, parts, none)
+    return joined(found, empty), joined(visited, visited[0].limit(0))
+
+
 def in_scope(url: Column, origins: Column, hosts: Column | None = None) -> Column:
     """Whether a URL has the origin of a seed, or, where ``hosts`` are given, one of those hosts."""
     own = F.array_contains(origins, ex.origin_key(url))

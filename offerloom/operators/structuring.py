@@ -39,11 +39,10 @@ def clean_link(x: Column) -> Column:
 
 def external_link(text: Column, fallback: Column) -> Column:
     """The first link to a shop if the fallback leads to a social network or nowhere."""
-    social = ["t.me", "telegram.me", "vk.com", "dzen.ru", "zen.yandex.ru", "rutube.ru"]
     host = lambda v: F.regexp_replace(ex.url_host(v), r"^www\.", "")
-    links = F.filter(F.transform(F.regexp_extract_all(text, F.lit(fixed.URL), F.lit(0)), clean_link), lambda v: v.isNotNull() & ~host(v).isin(*social))
+    links = F.filter(F.transform(F.regexp_extract_all(text, F.lit(fixed.URL), F.lit(0)), clean_link), lambda v: v.isNotNull() & ~host(v).isin(*fixed.SOCIAL_HOSTS))
     own = clean_link(fallback)
-    return F.when(own.isNotNull() & ~host(own).isin(*social), own).otherwise(F.coalesce(F.get(links, F.lit(0)), own))
+    return F.when(own.isNotNull() & ~host(own).isin(*fixed.SOCIAL_HOSTS), own).otherwise(F.coalesce(F.get(links, F.lit(0)), own))
 
 
 def merchant_of(x: Column) -> Column:
@@ -141,8 +140,8 @@ def structure(offers: DataFrame, now: Column) -> DataFrame:
         "multiple_prices": loose & (F.size(F.array_distinct(prices)) > 2),
         "title_truncated": F.col("__derived.cut"),
         "invalid_title": ~meaningful(F.col("title")),
-        "multiple_offer_markers": loose & many(r"(?iuU)\bпромокод\w*\b", 3),
-        "multiple_validity_markers": loose & many(r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", 3) & (F.char_length("__text") > 300),
+        "multiple_offer_markers": loose & many(fixed.OFFER_MARKER, 3),
+        "multiple_validity_markers": loose & many(fixed.VALIDITY_MARKER, 3) & (F.char_length("__text") > 300),
         "benefit_needs_review": ~benefit & marker,
     }
     df = df.withColumn("issues", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in issue.items()]))).withColumn("__benefit", benefit)

@@ -45,7 +45,7 @@ def page_records(spark, d):
     return html.records(table(spark, d, "pages"), "page_id").drop("data")
 
 
-@query()
+@query(f"""SELECT page_id, 'title' AS name, title AS value, CAST(0.74 AS DOUBLE) AS confidence, 'title' AS kind, 'document/html[1]/head[1]/title[1]' AS place, CAST(NULL AS VARCHAR) AS error FROM (SELECT page_id, {_TITLE} AS title FROM pages WHERE html IS NOT NULL) WHERE title <> ''""")
 def page_signals(spark, d):
     return html.signals(table(spark, d, "pages"), "page_id")
 

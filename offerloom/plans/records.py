@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..operators import blocks
 from ..operators import record_fields as rf
 from ..operators import semantic_records as sr
 from ..sources import html, jsonld
@@ -139,3 +140,21 @@ def matched_signals(spark, d):
     signals = table(spark, d, "part").select("p_partkey", name.alias("name"), (F.col("p_partkey") % 90 / 100.0).alias("confidence"))
     found = sr.matched_signals(signals, spark.createDataFrame(_FIELDS, _FIELD_KIND))
     return found.select("p_partkey", "field", "term", F.round("match_confidence", 6).alias("confidence"))
+
+
+# Pages that list codes: one block on every page, a second one on even pages, and one after the end.
+_LISTED = "<h1>Лавка {n}</h1><nav>Войти</nav><b>CODE{n}</b><p>промокод на {n}%</p><p>для всех</p><p>до 31.12.2030</p><a>Активировать промокод</a>"
+_SECOND = "<b>X-{n}</b><p>Промокод 500 ₽</p><i>на заказ {id}</i><a>Активировать промокод</a>"
+_LAST = "<h2>О сервисе</h2><b>ZZZ1</b><p>Промокод после конца</p>"
+_BLOCK_ID = lambda code, text: f"substr(sha256(url || '|' || lower({code}) || '|' || lower({text})), 1, 32)"
+_ONE, _TWO = _filled("промокод на {n}% для всех до 31.12.2030"), _filled("Промокод 500 ₽ на заказ {id}")
+
+
+@query(f"""SELECT page_id, {_filled('CODE{n}')} AS promo_code, {_filled('Лавка {n} — Промокод на {n}%')} AS title, 'для всех' AS conditions, CAST({_filled('{n}')} AS INTEGER) AS discount_percent, CAST(NULL AS DECIMAL(14,2)) AS discount_amount, '2030-12-31' AS until, {_BLOCK_ID(_filled('CODE{n}'), _ONE)} AS external_id FROM pages
+UNION ALL SELECT page_id, {_filled('X-{n}')}, {_filled('Лавка {n} — Промокод 500 ₽')}, {_filled('на заказ {id}')}, NULL, 500.00, NULL, {_BLOCK_ID(_filled('X-{n}'), _TWO)} FROM pages WHERE page_id % 2 = 0""")
+def code_blocks(spark, d):
+    made = F.expr(f"concat('<html><body>', {_filled(_LISTED)}, CASE WHEN page_id % 2 = 0 THEN {_filled(_SECOND)} ELSE '' END, '{_LAST}</body></html>')")
+    pages = table(spark, d, "pages").select("page_id", "url", made.alias("html"))
+    texts = blocks.page_texts(pages, "page_id").where("error IS NULL").join(pages.select("page_id", "url"), "page_id")
+    found = blocks.block_offers(texts, "page_id", F.col("url"), F.lit("2026-01-01").cast("timestamp"))
+    return found.select("page_id", "promo_code", "title", "conditions", "discount_percent", "discount_amount", F.date_format("valid_until", "yyyy-MM-dd").alias("until"), "external_id")

@@ -120,15 +120,30 @@ def profile_adjust(spark, d):
     return scoring.adjust(candidates, stats).select("candidate_id", F.round("confidence", 9).alias("confidence"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT 0 AS k, 0 AS depth UNION SELECT n, depth + 1 FROM b, LATERAL (SELECT unnest([k * 2 + 1, k * 2 + 2]) AS n) WHERE depth < 4)
+@query("""WITH RECURSIVE b AS (SELECT 0 AS k, 0 AS depth UNION SELECT n, depth + 1 FROM b, LATERAL (SELECT unnest([k * 2 + 1, k * 2 + 2]) AS n) WHERE depth < 4 AND k IN (SELECT page_id FROM pages))
 SELECT CAST(k AS VARCHAR) AS url, depth, CAST(k AS BIGINT) AS discovery_index FROM b""")
 def crawl_tree(spark, d):
     seeds = spark.createDataFrame([("0", 0)], "url string, position int")
-    links = spark.range(200).select(F.col("id").cast("string").alias("url"), F.explode(F.array(F.struct((F.col("id") * 2 + 1).alias("t"), F.lit(0).alias("p")), F.struct((F.col("id") * 2 + 2).alias("t"), F.lit(1).alias("p")))).alias("x"))
+    links = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("id")).select(F.col("id").cast("string").alias("url"), F.explode(F.array(F.struct((F.col("id") * 2 + 1).alias("t"), F.lit(0).alias("p")), F.struct((F.col("id") * 2 + 2).alias("t"), F.lit(1).alias("p")))).alias("x"))
     links = links.select("url", F.col("x.t").cast("string").alias("target"), F.col("x.p").alias("position"), F.lit(False).alias("nofollow"))
     return cr.discover(seeds, links, 4, 50, 500).select("url", "depth", F.col("discovery_index").cast("long").alias("discovery_index"))
 
 
+@query("""WITH RECURSIVE b AS (SELECT 0 AS k, 0 AS depth, NULL AS p UNION ALL SELECT n, depth + 1, k FROM b, LATERAL (SELECT unnest([k * 2 + 1, k * 2 + 2]) AS n) WHERE depth < 6 AND n % 11 <> 5 AND k IN (SELECT page_id FROM pages))
+SELECT CAST(k AS VARCHAR) AS url, CASE WHEN p % 7 = 3 THEN 'r' ELSE '' END || p AS parent, depth, i AS discovery_index FROM (SELECT *, row_number() OVER (ORDER BY k) - 1 AS i FROM b) WHERE k > 0 AND i <= 40""")
+def crawl_redirects(spark, d):
+    """A tree over the numbers of pages; every seventh page has moved twice, some links are not to be followed, and the crawl ends at 40 URLs."""
+    here, k = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")), F.col("page_id")
+    moved = k % 7 == 3
+    redirects = here.where(moved).select(F.inline(F.array(*[F.struct(F.concat(F.lit(a), k.cast("string")).alias("url"), F.concat(F.lit(b), k.cast("string")).alias("target")) for a, b in (("", "m"), ("m", "r"))])))
+    place = F.posexplode(F.array(k * 2 + 1, k * 2 + 2)).alias("position", "to")
+    links = here.select(F.concat(F.when(moved, "r").otherwise(""), k.cast("string")).alias("url"), place)
+    links = links.select("url", F.col("to").cast("string").alias("target"), "position", (F.col("to") % 11 == 5).alias("nofollow"))
+    seeds = spark.createDataFrame([("0", 0)], "url string, position int")
+    found, _ = cr.crawl(seeds, links, redirects, 6, 1_000, 40)
+    return found.select("url", "parent", "depth", F.col("discovery_index").cast("long").alias("discovery_index"))
+
+
 _TERMS, _CALLS = ["and", "rights", "license"], ["see", "token"]
 
 
