@@ -129,7 +129,7 @@ def crawl_tree(spark, d):
     return cr.discover(seeds, links, 4, 50, 500).select("url", "depth", F.col("discovery_index").cast("long").alias("discovery_index"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT 0 AS k, 0 AS depth, NULL AS p UNION ALL SELECT n, depth + 1, k FROM b, LATERAL (SELECT unnest([k * 2 + 1, k * 2 + 2]) AS n) WHERE depth < 6 AND n % 11 <> 5 AND k IN (SELECT page_id FROM pages))
+@query("""WITH RECURSIVE b AS (SELECT 0 AS k, 0 AS depth, CAST(NULL AS INTEGER) AS p UNION ALL SELECT n, depth + 1, k FROM b, LATERAL (SELECT unnest([k * 2 + 1, k * 2 + 2]) AS n) WHERE depth < 6 AND n % 11 <> 5 AND k IN (SELECT page_id FROM pages))
 SELECT CAST(k AS VARCHAR) AS url, CASE WHEN p % 7 = 3 THEN 'r' ELSE '' END || p AS parent, depth, i AS discovery_index FROM (SELECT *, row_number() OVER (ORDER BY k) - 1 AS i FROM b) WHERE k > 0 AND i <= 40""")
 def crawl_redirects(spark, d):
     """A tree over the numbers of pages; every seventh page has moved twice, some links are not to be followed, and the crawl ends at 40 URLs."""
