@@ -49,8 +49,9 @@ def json_string(x: Column) -> Column:
     return F.concat(F.lit('"'), F.when(x.rlike(r'["\\\x00-\x1f]'), spelled).otherwise(x), F.lit('"'))
 
 
-def _listed(items: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+def _listed(items: Column, signs: str = "[]") -> Column:
+    """The items between brackets, or null if one of them is null."""
+    return _let(items, lambda x: F.when(~F.exists(x, lambda i: i.isNull()), F.concat(F.lit(signs[0]), F.array_join(x, ","), F.lit(signs[1]))))
 
 
 def canonical_json(x: Column, kind: T.DataType) -> Column:
@@ -63,10 +64,9 @@ def canonical_json(x: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, T.MapType):
         keys = F.array_sort(F.map_keys(x))
         pairs = F.transform(keys, lambda k: F.concat(json_string(k.cast("string")), F.lit(":"), canonical_json(x[k], kind.valueType)))
-        whole = F.when(~F.exists(pairs, lambda p: p.isNull()), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+        whole = _listed(pairs, "{}")
     elif isinstance(kind, T.ArrayType):
-        items = F.transform(x, lambda i: canonical_json(i, kind.elementType))
-        whole = F.when(~F.exists(items, lambda i: i.isNull()), _listed(items))
+        whole = _listed(F.transform(x, lambda i: canonical_json(i, kind.elementType)))
     elif isinstance(kind, (*_WHOLE, T.BooleanType)):
         whole = x.cast("string")
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
@@ -100,15 +100,14 @@ def encode(x: Column, kind: T.DataType) -> Column:
     tag = _tag(kind)
     if isinstance(kind, T.StructType):
         pairs = F.array(*[F.concat(F.lit("["), json_string(F.lit(n)), F.lit(","), encode(x[n], kind[n].dataType), F.lit("]")) for n in sorted(kind.fieldNames())])
-        body = F.when(~F.exists(pairs, lambda p: p.isNull()), _listed(pairs))
+        body = _listed(pairs)
     elif isinstance(kind, T.MapType):
         if not isinstance(kind.keyType, T.StringType):
             raise TypeError("mappings need string keys")
         pairs = F.transform(F.array_sort(F.map_keys(x)), lambda k: F.concat(F.lit("["), json_string(k), F.lit(","), encode(x[k], kind.valueType), F.lit("]")))
-        body = F.when(~F.exists(pairs, lambda p: p.isNull()), _listed(pairs))
+        body = _listed(pairs)
     elif isinstance(kind, T.ArrayType):
-        items = F.transform(x, lambda i: encode(i, kind.elementType))
-        body = F.when(~F.exists(items, lambda i: i.isNull()), _listed(items))
+        body = _listed(F.transform(x, lambda i: encode(i, kind.elementType)))
     elif tag in ("int", "bool"):
         body = x.cast("string")
     elif tag == "float":
