@@ -97,3 +97,9 @@ def test_revealed_numbers_are_no_codes(spark):
 def test_copied_selectors(spark, sample, field, item, relative):
     df = spark.createDataFrame([(sample, field)], "s string, f string")
     assert tuple(df.select(pr.generalized_selector(F.col("s")), pr.relative_selector(F.col("s"), F.col("f"))).first()) == (item, relative)
+
+
+def test_references_need_their_semicolon():
+    tree = css.Tree('<div class="a&b">x &amp;&am &amp</div><a href="/?a=1&copy=2&amp;b=3">&quot;</a>')
+    assert [tree.text(1), tree.text(2)] == ["x &&am &amp", '"']
+    assert tree.attrs[1]["class"] == "a&b" and tree.attrs[2]["href"] == "/?a=1&copy=2&b=3"
