@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,9 +15,20 @@ PERCENT = "decimal(8,2)"
 _SPACES = r"(?U)[\s ]+"
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` written and computed once, however often ``f`` uses it. Spark repeats an expression
+    at each use, and inside ``when`` and lambdas it does not find the common ones again."""
+    return F.try_element_at(F.transform(F.array(x), f), F.lit(1))
+
+
+def filled(x: Column) -> Column:
+    """The text, or null if it is empty."""
+    return once(x, lambda v: F.when(v != "", v))
+
+
 def collapse(x: Column) -> Column:
     """White space collapsed and trimmed; empty becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(x, _SPACES, " ")), F.lit(""))
+    return filled(F.trim(F.regexp_replace(x, _SPACES, " ")))
 
 
 def normalize_text(x: Column) -> Column:
@@ -232,16 +244,19 @@ def is_code(x: Column) -> Column:
 
 def promo_code(x: Column) -> Column:
     """A labelled code, else the first line that is one (upper case, with a digit or ``_``)."""
-    clean = without_urls(F.coalesce(x, F.lit("")))
-    labelled = F.upper(F.regexp_extract(clean, fixed.LABELLED_CODE, 1))
-    labelled = F.when((labelled != "") & ~labelled.isin(*fixed.NOT_A_CODE) & ~labelled.rlike(fixed.CALL_TO_ACTION), labelled)
+    return once(without_urls(F.coalesce(x, F.lit(""))), code_in)
+
+
+def code_in(clean: Column) -> Column:
+    """The promo code of a text without links."""
+    labelled = once(F.upper(F.regexp_extract(clean, fixed.LABELLED_CODE, 1)), lambda v: F.when((v != "") & ~v.isin(*fixed.NOT_A_CODE) & ~v.rlike(fixed.CALL_TO_ACTION), v))
     own = F.transform(F.split(clean, "\n"), lambda v: F.regexp_replace(F.trim(v), r"^[•—–\-:;,.\[\](){}<>]+|[•—–\-:;,.\[\](){}<>]+$", ""))
     lines = F.filter(own, lambda v: is_code(v) & (F.upper(v) == v) & v.rlike("[0-9_]"))
     return F.coalesce(labelled, F.get(lines, F.lit(0)))
 
 
 def _amount(x: Column, patterns: list[str]) -> Column:
-    found = [F.regexp_replace(F.nullif(F.regexp_extract(x, p, 1), F.lit("")), _SPACES, "").try_cast(MONEY) for p in patterns]
+    found = [F.regexp_replace(filled(F.regexp_extract(x, p, 1)), _SPACES, "").try_cast(MONEY) for p in patterns]
     return F.coalesce(*found)
 
 
@@ -251,11 +266,14 @@ def sentences(x: Column) -> Column:
 
 def conditions(x: Column, explicit: Column | None = None) -> Column:
     """conditions, max_discount_amount and min_order_amount of a text."""
-    text = F.trim(F.coalesce(x, F.lit("")))
-    chosen = F.array_distinct(F.filter(sentences(text), lambda v: v.rlike(fixed.CONDITION)))
-    found = F.nullif(F.substring(F.array_join(chosen, " "), 1, 2000), F.lit(""))
     said = collapse(explicit) if explicit is not None else F.lit(None).cast("string")
-    return F.struct(F.coalesce(said, found).alias("conditions"), _amount(text, fixed.MOST_DISCOUNT).alias("max_discount_amount"), _amount(text, fixed.LEAST_ORDER).alias("min_order_amount"))
+
+    def read(text: Column) -> Column:
+        chosen = F.array_distinct(F.filter(sentences(text), lambda v: v.rlike(fixed.CONDITION)))
+        found = filled(F.substring(F.array_join(chosen, " "), 1, 2000))
+        return F.struct(F.coalesce(said, found).alias("conditions"), _amount(text, fixed.MOST_DISCOUNT).alias("max_discount_amount"), _amount(text, fixed.LEAST_ORDER).alias("min_order_amount"))
+
+    return once(F.trim(F.coalesce(x, F.lit(""))), read)
 
 
 def valid_until(x: Column, now: Column) -> Column:

@@ -5,7 +5,6 @@ The walk happens once, over the schema, and leaves plain expressions; rows never
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,11 +19,6 @@ _SPELLED = "array(" + ", ".join(f"named_struct('sign', {_HEX(a)}, 'code', {_HEX(
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def _let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(x)`` with ``x`` written once, however often ``f`` uses it; nested types stay linear so."""
-    return F.try_element_at(F.transform(F.array(x), f), F.lit(1))
-
-
 def float_text(x: Column) -> Column:
     """The shortest text that reads back as the same double, as Python spells it; null if not finite."""
 
@@ -39,7 +33,7 @@ def float_text(x: Column) -> Column:
         return F.concat(F.when(s.startswith("-"), "-").otherwise(""), plain)
 
     tries = F.array(*[F.format_string(f"%.{k}e", x) for k in range(17)])
-    found = _let(F.try_element_at(F.filter(tries, lambda t: t.cast("double") == x), F.lit(1)), spelled)
+    found = ex.once(F.try_element_at(F.filter(tries, lambda t: t.cast("double") == x), F.lit(1)), spelled)
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), found)
 
 
@@ -51,7 +45,7 @@ def json_string(x: Column) -> Column:
 
 def _listed(items: Column, signs: str = "[]") -> Column:
     """The items between brackets, or null if one of them is null."""
-    return _let(items, lambda x: F.when(~F.exists(x, lambda i: i.isNull()), F.concat(F.lit(signs[0]), F.array_join(x, ","), F.lit(signs[1]))))
+    return ex.once(items, lambda x: F.when(~F.exists(x, lambda i: i.isNull()), F.concat(F.lit(signs[0]), F.array_join(x, ","), F.lit(signs[1]))))
 
 
 def canonical_json(x: Column, kind: T.DataType) -> Column:
@@ -133,14 +127,14 @@ def _read(v: Column, kind: T.DataType) -> Column:
     """The payload of a tagged variant as (value, error)."""
     tag, at = _tag(kind), F.try_variant_get(v, "$[1]", "string")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return _let(F.try_variant_get(v, "$[1]", "array<variant>"), lambda items: F.when(items.isNull(), _result(F.lit(None).cast(kind), F.lit(f"{tag} payload must be a list"))).otherwise(_read_items(items, kind)))
+        return ex.once(F.try_variant_get(v, "$[1]", "array<variant>"), lambda items: F.when(items.isNull(), _result(F.lit(None).cast(kind), F.lit(f"{tag} payload must be a list"))).otherwise(_read_items(items, kind)))
     value = {"int": F.try_variant_get(v, "$[1]", "long"), "bool": F.try_variant_get(v, "$[1]", "boolean"), "bytes": F.try_to_binary(at, F.lit("base64")), "time": F.try_to_timestamp(at)}.get(tag, at).try_cast(kind)
-    return _let(value, lambda x: _result(x, F.when(x.isNull(), F.lit(f"{tag} payload cannot be read"))))
+    return ex.once(value, lambda x: _result(x, F.when(x.isNull(), F.lit(f"{tag} payload cannot be read"))))
 
 
 def _read_items(items: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
-        return _let(F.transform(items, lambda i: _decoded(i, kind.elementType)), lambda parts: _result(F.transform(parts, lambda p: p["value"]), _first_error(parts)))
+        return ex.once(F.transform(items, lambda i: _decoded(i, kind.elementType)), lambda parts: _result(F.transform(parts, lambda p: p["value"]), _first_error(parts)))
 
     def pair(p: Column) -> Column:
         good = (F.size(F.try_variant_get(p, "$", "array<variant>")) == 2) & (F.schema_of_variant(F.try_variant_get(p, "$[0]", "variant")) == "STRING")
@@ -149,24 +143,24 @@ def _read_items(items: Column, kind: T.DataType) -> Column:
     def keyed(pairs: Column) -> Column:
         keys = F.transform(pairs, lambda p: p["key"])
         wrong = F.when(F.exists(keys, lambda k: k.isNull()), F.lit("a dict entry must be a string key and a typed value")).when(F.size(keys) != F.size(F.array_distinct(keys)), F.lit("duplicate key"))
-        return _let(wrong, lambda w: F.when(w.isNotNull(), _result(F.lit(None).cast(kind), w)).otherwise(_fields(pairs, kind)))
+        return ex.once(wrong, lambda w: F.when(w.isNotNull(), _result(F.lit(None).cast(kind), w)).otherwise(_fields(pairs, kind)))
 
-    return _let(F.transform(items, pair), keyed)
+    return ex.once(F.transform(items, pair), keyed)
 
 
 def _fields(pairs: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.MapType):
         parts = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), _decoded(p["at"], kind.valueType).alias("r")))
         entries = lambda ps: F.map_from_entries(F.transform(ps, lambda p: F.struct(p["key"], p["r"]["value"])))
-        return _let(parts, lambda ps: _result(entries(ps), _first_error(F.transform(ps, lambda p: p["r"]))))
+        return ex.once(parts, lambda ps: _result(entries(ps), _first_error(F.transform(ps, lambda p: p["r"]))))
     names = kind.fieldNames()
 
     def one(name: str) -> Column:
-        return _let(F.try_element_at(F.filter(pairs, lambda p: p["key"] == name), F.lit(1))["at"], lambda v: F.when(v.isNull(), _result(F.lit(None).cast(kind[name].dataType), F.lit(f"missing key {name}"))).otherwise(_decoded(v, kind[name].dataType)))
+        return ex.once(F.try_element_at(F.filter(pairs, lambda p: p["key"] == name), F.lit(1))["at"], lambda v: F.when(v.isNull(), _result(F.lit(None).cast(kind[name].dataType), F.lit(f"missing key {name}"))).otherwise(_decoded(v, kind[name].dataType)))
 
     fields = F.struct(*[one(n).alias(n) for n in names])
     extra = F.when(F.size(pairs) > len(names), F.lit("unknown key"))
-    return _let(fields, lambda r: _result(F.struct(*[r[n]["value"].alias(n) for n in names]), F.coalesce(*[r[n]["error"] for n in names], extra)))
+    return ex.once(fields, lambda r: _result(F.struct(*[r[n]["value"].alias(n) for n in names]), F.coalesce(*[r[n]["error"] for n in names], extra)))
 
 
 def _decoded(v: Column, kind: T.DataType) -> Column:
@@ -182,17 +176,17 @@ def _decoded(v: Column, kind: T.DataType) -> Column:
         )
         return F.when(wrong.isNotNull(), _result(empty, wrong)).when(said == "null", _result(empty, F.lit(None).cast("string"))).otherwise(_read(v, kind))
 
-    return _let(F.struct(F.try_variant_get(v, "$[0]", "string").alias("said"), F.size(F.try_variant_get(v, "$", "array<variant>")).alias("size")), judged)
+    return ex.once(F.struct(F.try_variant_get(v, "$[0]", "string").alias("said"), F.size(F.try_variant_get(v, "$", "array<variant>")).alias("size")), judged)
 
 
 def decode(text: Column, kind: T.DataType, expected_hash: Column | None = None) -> Column:
     """The strict inverse of :func:`encode`: a struct of the value and what is wrong with the text, if
     anything: no JSON, another tag, a missing or repeated key, another spelling than the encoder's, or
     another hash than expected."""
-    read = _let(F.try_parse_json(text), lambda v: F.when(v.isNull(), _result(F.lit(None).cast(kind), F.lit("not a JSON text"))).otherwise(_decoded(v, kind)))
+    read = ex.once(F.try_parse_json(text), lambda v: F.when(v.isNull(), _result(F.lit(None).cast(kind), F.lit("not a JSON text"))).otherwise(_decoded(v, kind)))
     # The parser stops at the end of the first value; whatever the encoder would not write is refused.
     exact = lambda r: _result(r["value"], F.coalesce(r["error"], F.when(~encode(r["value"], kind).eqNullSafe(text), F.lit("not in canonical form"))))
-    found = _let(read, exact)
+    found = ex.once(read, exact)
     if expected_hash is None:
         return found
     return F.when(payload_hash(text) != expected_hash, _result(F.lit(None).cast(kind), F.lit("hash differs"))).otherwise(found)

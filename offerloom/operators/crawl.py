@@ -162,15 +162,20 @@ def selected(assessed: DataFrame, candidates: bool = True, unprobed: bool = Fals
 def content_score(title: Column, h1: Column, meta: Column, visible: Column, terms: list[str], calls: list[str]) -> Column:
     """Terms in title, h1 and description count two each; how many different ones the text has,
     how often, and calls to action add to it; a title that says nothing takes 2.5 off."""
-    has = lambda x: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(plain(x), t))
-    low = plain(visible)
-    count = lambda words: F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(w)))) / len(w) for w in words])
-    different = F.size(F.filter(count(terms), lambda n: n > 0))
-    density = F.aggregate(count(terms), F.lit(0.0), lambda a, n: a + n)
-    acts = F.size(F.filter(count(calls), lambda n: n > 0))
-    named = sum((F.when(has(x), 2.0).otherwise(0.0) for x in (title, h1, meta)), F.lit(0.0))
-    empty = F.when(plain(title).isin(fixed.GENERIC_PAGE_TITLES), -2.5).otherwise(0.0)
-    return empty + named + F.least(F.lit(3.0), 0.5 * different) + F.when(density >= 8, 2.0).when(density >= 3, 1.0).otherwise(0.0) + F.least(F.lit(1.5), 0.75 * acts)
+    has = lambda v: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(v, t))
+    named = lambda v: F.when(has(v), 2.0).otherwise(0.0)
+    heading = ex.once(plain(title), lambda v: F.when(v.isin(fixed.GENERIC_PAGE_TITLES), -2.5).otherwise(0.0) + named(v))
+
+    def body(low: Column) -> Column:
+        count = lambda words: F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(w)))) / len(w) for w in words])
+        return ex.once(F.struct(count(terms).alias("terms"), count(calls).alias("calls")), weighed)
+
+    def weighed(n: Column) -> Column:
+        some = lambda counts: F.size(F.filter(counts, lambda k: k > 0))
+        density = ex.once(F.aggregate(n["terms"], F.lit(0.0), lambda a, k: a + k), lambda v: F.when(v >= 8, 2.0).when(v >= 3, 1.0).otherwise(0.0))
+        return F.least(F.lit(3.0), 0.5 * some(n["terms"])) + density + F.least(F.lit(1.5), 0.75 * some(n["calls"]))
+
+    return heading + sum((ex.once(plain(x), named) for x in (h1, meta)), F.lit(0.0)) + ex.once(plain(visible), body)
 
 
 def status(score: Column) -> Column:

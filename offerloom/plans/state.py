@@ -150,7 +150,8 @@ _TERMS, _CALLS = ["and", "rights", "license"], ["see", "token"]
 @query()
 def content_relevance(spark, d):
     score = cr.content_score(F.substring_index("text", "\n", 1), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("text"), _TERMS, _CALLS)
-    return table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"), cr.status(score).alias("status"))
+    scored = table(spark, d, "documents").select("doc_id", score.alias("score"))
+    return scored.select("doc_id", F.round("score", 6).alias("score"), cr.status(F.col("score")).alias("status"))
 
 
 @query()
