@@ -162,21 +162,30 @@ def structure(offers: DataFrame, now: Column) -> DataFrame:
 def signal(x: Column, keywords: list[tuple[str, str]] = fixed.KEYWORDS) -> Column:
     """Does a text announce an offer? Keywords, a code, a percentage and a falling price add up;
     four points make an offer. Links are no evidence."""
-    clean = ex.without_urls(F.coalesce(x, F.lit("")))
-    low = ex.normalize_keyword(clean)
-    hit = [(F.contains(low, F.lit(ex_word)), ex_word, fixed.KEYWORD_SCORE[kind]) for ex_word, kind in keywords]
-    code = ex.promo_code(clean)
-    percent = F.replace(F.nullif(F.regexp_extract(clean, fixed.SIGNAL_PERCENT, 1), F.lit("")), F.lit(","), F.lit(".")).try_cast(ex.PERCENT)
-    percent = F.when((percent > 0) & (percent <= 100), percent)
+    return ex.once(ex.without_urls(F.coalesce(x, F.lit(""))), lambda clean: _signal_in(clean, keywords))
+
+
+def _signal_in(clean: Column, keywords: list[tuple[str, str]]) -> Column:
+    said = F.when(F.contains(clean, F.lit("%")), ex.filled(F.regexp_extract(clean, fixed.SIGNAL_PERCENT, 1)))
+    percent = ex.once(F.replace(said, F.lit(","), F.lit(".")).try_cast(ex.PERCENT), lambda v: F.when((v > 0) & (v <= 100), v))
     prices = F.transform(_texts(clean, fixed.SIGNAL_PRICE), lambda v: F.regexp_replace(v, r"(?U)[\s ]+", "").try_cast(ex.MONEY))
-    old, new = F.get(prices, F.lit(0)), F.get(prices, F.lit(1))
-    points = sum((F.when(c, F.lit(w)).otherwise(F.lit(0)) for c, _, w in hit), F.lit(0)) + F.when(code.isNotNull(), 4).otherwise(0) + F.when(percent.isNotNull(), 3).otherwise(0) + F.when(old > new, 3).otherwise(0)
-    score = F.greatest(F.lit(0), points)
-    has = lambda w: F.contains(low, F.lit(w))
-    kind = F.when(code.isNotNull(), "promo").when(has("кэшбэк") | has("cashback"), "cashback").when(has("достав") & (has("бесплат") | F.contains(clean, F.lit("0 ₽"))), "delivery").otherwise("discount")
-    matched = F.array_compact(F.array(*[F.when(c, F.lit(w)) for c, w, _ in hit]))
-    return F.struct((score >= 4).alias("is_offer"), score.alias("score"), kind.alias("offer_type"), matched.alias("matched"), code.alias("promo_code"), percent.alias("discount_percent"), old.alias("old_price"), new.alias("new_price"))
+    hits = lambda low: F.array(*[F.contains(low, F.lit(word)) for word, _ in keywords])
+
+    def kind(low: Column, code: Column) -> Column:
+        has = lambda w: F.contains(low, F.lit(w))
+        return F.when(code.isNotNull(), "promo").when(has("кэшбэк") | has("cashback"), "cashback").when(has("достав") & (has("бесплат") | F.contains(clean, F.lit("0 ₽"))), "delivery").otherwise("discount")
+
+    def named(low: Column) -> Column:
+        return ex.once(ex.code_in(clean), lambda code: F.struct(hits(low).alias("hits"), code.alias("code"), kind(low, code).alias("kind")))
+
+    def scored(r: Column) -> Column:
+        n, code, percent, old, new = r["named"], r["named"]["code"], r["percent"], F.get(r["prices"], F.lit(0)), F.get(r["prices"], F.lit(1))
+        points = sum((F.when(n["hits"][k], F.lit(fixed.KEYWORD_SCORE[sort])).otherwise(F.lit(0)) for k, (_, sort) in enumerate(keywords)), F.lit(0))
+        points = points + F.when(code.isNotNull(), 4).otherwise(0) + F.when(percent.isNotNull(), 3).otherwise(0) + F.when(old > new, 3).otherwise(0)
+        matched = F.array_compact(F.array(*[F.when(n["hits"][k], F.lit(word)) for k, (word, _) in enumerate(keywords)]))
+        return ex.once(F.greatest(F.lit(0), points), lambda score: F.struct((score >= 4).alias("is_offer"), score.alias("score"), n["kind"].alias("offer_type"), matched.alias("matched"), code.alias("promo_code"), percent.alias("discount_percent"), old.alias("old_price"), new.alias("new_price")))
 
+    return ex.once(F.struct(ex.once(ex.normalize_keyword(clean), named).alias("named"), percent.alias("percent"), prices.alias("prices")), scored)
 
 def disposition(structured: DataFrame) -> DataFrame:
     """processed, needs_review (several codes or an open issue) or ignored."""
