@@ -186,8 +186,9 @@ def first_amount(x: Column) -> Column:
 
 def prices(x: Column) -> Column:
     """All prices of a text, in order."""
-    whole, cents = F.regexp_extract_all(x, F.lit(fixed.PRICE), F.lit(1)), F.regexp_extract_all(x, F.lit(fixed.PRICE), F.lit(2))
-    text = F.zip_with(whole, cents, lambda w, c: F.concat(F.regexp_replace(w, _SPACES, ""), F.when(c != "", F.concat(F.lit("."), c)).otherwise("")))
+    part = lambda found, k: F.regexp_extract(found, fixed.PRICE, k)
+    cents = lambda c: F.when(c != "", F.concat(F.lit("."), c)).otherwise("")
+    text = F.transform(F.regexp_extract_all(x, F.lit(fixed.PRICE), F.lit(0)), lambda found: F.concat(F.regexp_replace(part(found, 1), _SPACES, ""), once(part(found, 2), cents)))
     return F.filter(F.transform(text, lambda v: v.try_cast(MONEY)), lambda v: v.isNotNull())
 
 
@@ -279,14 +280,21 @@ def conditions(x: Column, explicit: Column | None = None) -> Column:
 def valid_until(x: Column, now: Column) -> Column:
     """The end of the day that a text names, in UTC; a day without a year lies ahead of ``now``."""
     end = lambda y, m, d: F.try_make_timestamp(y, m, d, F.lit(23), F.lit(59), F.lit(59))
-    part = lambda p, k: F.regexp_extract(x, p, k).try_cast("int")
-    numeric = end(part(fixed.DATE, 3), part(fixed.DATE, 2), part(fixed.DATE, 1))
-    month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in fixed.MONTHS]), F.lower(F.regexp_extract(x, fixed.DAY_MONTH, 2))).cast("int"), F.lit(0))
-    day, year = part(fixed.DAY_MONTH, 1), part(fixed.DAY_MONTH, 3)
-    this = end(F.coalesce(year, F.year(now)), month, day)
-    worded = F.when(year.isNull() & (this < now), end(F.year(now) + 1, month, day)).otherwise(this)
-    return F.when(x.rlike(fixed.ENDLESS), F.lit(None).cast("timestamp")).when(x.rlike(fixed.DATE), numeric).otherwise(worded)
+    part = lambda found, p, k: F.regexp_extract(found, p, k).try_cast("int")
+    months = F.array(*[F.lit(m) for m in fixed.MONTHS])
 
+    def numeric(found: Column) -> Column:
+        return end(part(found, fixed.DATE, 3), part(found, fixed.DATE, 2), part(found, fixed.DATE, 1))
+
+    def worded(found: Column) -> Column:
+        month = F.nullif(F.array_position(months, F.lower(F.regexp_extract(found, fixed.DAY_MONTH, 2))).cast("int"), F.lit(0))
+        day, year = part(found, fixed.DAY_MONTH, 1), part(found, fixed.DAY_MONTH, 3)
+        this = end(F.coalesce(year, F.year(now)), month, day)
+        return F.when(year.isNull() & (this < now), end(F.year(now) + 1, month, day)).otherwise(this)
+
+    # The text is searched once for each pattern; the parts are read from what was found.
+    dated = once(F.regexp_extract(x, fixed.DATE, 0), lambda found: F.when(found != "", numeric(found)).otherwise(once(F.regexp_extract(x, fixed.DAY_MONTH, 0), worded)))
+    return F.when(x.rlike(fixed.ENDLESS), F.lit(None).cast("timestamp")).otherwise(dated)
 
 def _alias(text: Column, aliases: list[tuple[str, str]]) -> Column:
     """What the first alias in the list that the text holds as a word stands for."""

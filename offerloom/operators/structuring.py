@@ -25,7 +25,11 @@ def _decimals(x: Column, pattern: str, kind: str = ex.MONEY) -> Column:
 
 def codes(x: Column) -> Column:
     """All codes of a text: labelled ones, then lines that are one."""
-    clean = ex.without_urls(x)
+    return ex.once(ex.without_urls(x), codes_in)
+
+
+def codes_in(clean: Column) -> Column:
+    """All codes of a text without links."""
     labelled = F.filter(F.transform(_texts(clean, fixed.LABELLED_CODE), lambda v: F.upper(v)), lambda v: ex.is_code(v))
     own = F.transform(F.split(clean, "\n"), lambda v: F.regexp_replace(F.trim(v), r"^[•—–\-:;,.\[\](){}<>]+|[•—–\-:;,.\[\](){}<>]+$", ""))
     lines = F.filter(own, lambda v: ex.is_code(v) & (F.upper(v) == v) & v.rlike("[0-9_]"))
@@ -34,28 +38,28 @@ def codes(x: Column) -> Column:
 
 def clean_link(x: Column) -> Column:
     cut = F.regexp_replace(F.trim(x), r"""[.,);\]}>"']+$""", "")
-    return F.when(cut.rlike("^https?://") & (ex.url_host(cut) != ""), cut)
+    return ex.once(cut, lambda v: F.when(v.rlike("^https?://") & (ex.url_host(v) != ""), v))
 
 
 def external_link(text: Column, fallback: Column) -> Column:
     """The first link to a shop if the fallback leads to a social network or nowhere."""
     host = lambda v: F.regexp_replace(ex.url_host(v), r"^www\.", "")
     links = F.filter(F.transform(F.regexp_extract_all(text, F.lit(fixed.URL), F.lit(0)), clean_link), lambda v: v.isNotNull() & ~host(v).isin(*fixed.SOCIAL_HOSTS))
-    own = clean_link(fallback)
-    return F.when(own.isNotNull() & ~host(own).isin(*fixed.SOCIAL_HOSTS), own).otherwise(F.coalesce(F.get(links, F.lit(0)), own))
+    return ex.once(clean_link(fallback), lambda own: F.when(own.isNotNull() & ~host(own).isin(*fixed.SOCIAL_HOSTS), own).otherwise(F.coalesce(F.get(links, F.lit(0)), own)))
 
 
 def merchant_of(x: Column) -> Column:
     found = F.regexp_replace(F.regexp_replace(F.regexp_extract(x, fixed.ADVERTISER, 1), r"(?U)\s+", " "), r"^[ ,.;:\-]+|[ ,.;:\-]+$", "")
-    return F.nullif(F.substring(found, 1, 255), F.lit(""))
+    return ex.filled(F.substring(found, 1, 255))
 
 
 def meaningful(x: Column) -> Column:
-    text = ex.collapse(x)
-    generic = F.regexp_replace(F.lower(text), r"^[ .:\-—]+|[ .:\-—]+$", "").isin(*fixed.GENERIC_TITLES)
-    bad = generic | text.rlike(fixed.CALL_TO_ACTION) | text.rlike(fixed.NOISE_LINE) | (ex.is_code(text) & (F.upper(text) == text)) | clean_link(text).isNotNull()
-    return F.coalesce(~bad & (F.char_length(text) >= 4), F.lit(False))
+    def says(text: Column) -> Column:
+        generic = F.regexp_replace(F.lower(text), r"^[ .:\-—]+|[ .:\-—]+$", "").isin(*fixed.GENERIC_TITLES)
+        bad = generic | text.rlike(fixed.CALL_TO_ACTION) | text.rlike(fixed.NOISE_LINE) | (ex.is_code(text) & (F.upper(text) == text)) | clean_link(text).isNotNull()
+        return F.coalesce(~bad & (F.char_length(text) >= 4), F.lit(False))
 
+    return ex.once(ex.collapse(x), says)
 
 def benefit_label(promo: Column, percent: Column, amount: Column, cash_percent: Column, cash_amount: Column, free: Column) -> Column:
     text = lambda a, x, b: F.when(x.isNotNull(), F.concat(F.lit(a), F.when(x == 0, "0").otherwise(ex.decimal_text(x)), F.lit(b)))
@@ -68,13 +72,19 @@ def benefit_label(promo: Column, percent: Column, amount: Column, cash_percent:
 def title_of(x: Column, fallback: Column) -> Column:
     """(title, cut): the first line with an offer word, else the first line that says something."""
     lines = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), lambda v: F.regexp_replace(F.regexp_replace(v, r"(?U)\s+", " "), r"^[ •\t]+|[ •\t]+$", "")), lambda v: meaningful(v) & ~F.lower(v).startswith("рекламодатель"))
-    whole = F.coalesce(F.get(F.filter(lines, lambda v: v.rlike(fixed.OFFER_WORD)), F.lit(0)), F.get(lines, F.lit(0)), fallback)
-    sentence = F.trim(F.get(F.split(whole, r"(?<=[.!?;])\s+", 2), F.lit(0)))
-    head = F.substring(whole, 1, 240)
-    word = F.when(F.contains(head, F.lit(" ")), F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(head)
-    short = F.when(F.char_length(sentence).between(4, 240), sentence).otherwise(F.concat(F.regexp_replace(word, r"[ ,.;:\-]+$", ""), F.lit("…")))
-    long_ = F.coalesce(F.char_length(whole) > 240, F.lit(False))
-    return F.struct(F.when(long_, short).otherwise(whole).alias("title"), long_.alias("cut"))
+    whole = ex.once(lines, lambda ls: F.coalesce(F.get(F.filter(ls, lambda v: v.rlike(fixed.OFFER_WORD)), F.lit(0)), F.get(ls, F.lit(0)), fallback))
+
+    def short(text: Column) -> Column:
+        head = F.substring(text, 1, 240)
+        word = F.when(F.contains(head, F.lit(" ")), F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(head)
+        sentence = F.trim(F.get(F.split(text, r"(?<=[.!?;])\s+", 2), F.lit(0)))
+        return ex.once(sentence, lambda v: F.when(F.char_length(v).between(4, 240), v).otherwise(F.concat(F.regexp_replace(word, r"[ ,.;:\-]+$", ""), F.lit("…"))))
+
+    def cut(text: Column) -> Column:
+        long_ = F.coalesce(F.char_length(text) > 240, F.lit(False))
+        return F.struct(F.when(long_, short(text)).otherwise(text).alias("title"), long_.alias("cut"))
+
+    return ex.once(whole, cut)
 
 
 MONEY_FIELDS = ("discount_percent", "discount_amount", "cashback_percent", "cashback_amount", "old_price", "new_price", "delivery_price")
@@ -93,11 +103,13 @@ def structure(offers: DataFrame, now: Column) -> DataFrame:
     clean = F.col("__clean")
     df = df.withColumns(
         {
-            "__codes": codes(F.col("__text")),
+            "__codes": codes_in(clean),
             "__said": ex.collapse(F.coalesce(meta("promo_code"), F.col("promo_code"))),
             "__percents": _decimals(clean, fixed.ANY_PERCENT),
             "__cash": _decimals(clean, fixed.CASHBACK_PERCENT),
             "__prices": ex.prices(clean),
+            "__marker": clean.rlike(fixed.OFFER_WORD),
+            "__preferred": F.coalesce(ex.collapse(meta("title")), ex.collapse(F.col("title"))),
             "__free": clean.rlike(fixed.FREE_DELIVERY),
             "__conditions": ex.conditions(F.col("__text"), F.coalesce(meta("conditions"), F.col("conditions"))),
         }
@@ -125,12 +137,11 @@ def structure(offers: DataFrame, now: Column) -> DataFrame:
         }
     )
     benefit = ex.any_of([F.col(c).isNotNull() for c in ("promo_code", *MONEY_FIELDS)])
-    marker = clean.rlike(fixed.OFFER_WORD)
+    marker, preferred = F.col("__marker"), F.col("__preferred")
     label = benefit_label(*[F.col(c) for c in ("promo_code", "discount_percent", "discount_amount", "cashback_percent", "cashback_amount", "__free")])
-    preferred = F.coalesce(ex.collapse(meta("title")), ex.collapse(F.col("title")))
     preferred = F.when(meaningful(preferred) & (F.char_length(preferred) <= 240), preferred)
     fallback = F.nullif(F.concat_ws(" — ", label, F.col("merchant")), F.lit(""))
-    df = df.withColumn("__derived", title_of(F.coalesce("description", "title"), fallback)).withColumn("title", F.coalesce(preferred, F.col("__derived.title")))
+    df = df.withColumn("__derived", title_of(F.coalesce("description", "title"), fallback)).withColumn("title", F.coalesce(preferred, F.col("__derived.title"))).withColumn("__sound", meaningful(F.col("title")))
     loose = ~F.col("__given")
     many = lambda p, n: F.regexp_count(clean, F.lit(p)) >= n
     issue = {
@@ -139,7 +150,7 @@ def structure(offers: DataFrame, now: Column) -> DataFrame:
         "multiple_discount_percentages": loose & (F.size("__percents") > 2),
         "multiple_prices": loose & (F.size(F.array_distinct(prices)) > 2),
         "title_truncated": F.col("__derived.cut"),
-        "invalid_title": ~meaningful(F.col("title")),
+        "invalid_title": ~F.col("__sound"),
         "multiple_offer_markers": loose & many(fixed.OFFER_MARKER, 3),
         "multiple_validity_markers": loose & many(fixed.VALIDITY_MARKER, 3) & (F.char_length("__text") > 300),
         "benefit_needs_review": ~benefit & marker,
@@ -150,7 +161,7 @@ def structure(offers: DataFrame, now: Column) -> DataFrame:
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     part = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit("0")).cast("decimal(6,2)")
     score = (
-        F.lit("0.15").cast("decimal(6,2)") + part(meaningful(F.col("title")), "0.25") + part(F.col("__benefit"), "0.25") + part(has("merchant"), "0.10") + part(has("conditions"), "0.10")
+        F.lit("0.15").cast("decimal(6,2)") + part(F.col("__sound"), "0.25") + part(F.col("__benefit"), "0.25") + part(has("merchant"), "0.10") + part(has("conditions"), "0.10")
         + part(has("source_url"), "0.08") + part(F.col("__given"), "0.12") - part(F.exists("issues", lambda i: i.startswith("multiple_")), "0.25") - part(F.array_contains("issues", "title_truncated"), "0.05")
     )
     df = df.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score.cast("double"))))
