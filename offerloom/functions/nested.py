@@ -116,19 +116,25 @@ def payload_hash(text: Column) -> Column:
 
 
 def _result(value: Column, error: Column) -> Column:
-    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
+    return ex.once(error, lambda e: F.struct(F.when(e.isNull(), value).alias("value"), e.alias("error")))
 
 
 def _first_error(parts: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(parts, lambda p: p["error"]), lambda e: e.isNotNull()), F.lit(1))
 
 
-def _read(v: Column, kind: T.DataType) -> Column:
+def _parts(v: Column) -> Column:
+    """The items of a variant that is a list; each reading copies all below it, so it is done once a list."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _read(payload: Column, kind: T.DataType) -> Column:
     """The payload of a tagged variant as (value, error)."""
-    tag, at = _tag(kind), F.try_variant_get(v, "$[1]", "string")
+    tag, get = _tag(kind), lambda as_: F.try_variant_get(payload, "$", as_)
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return ex.once(F.try_variant_get(v, "$[1]", "array<variant>"), lambda items: F.when(items.isNull(), _result(F.lit(None).cast(kind), F.lit(f"{tag} payload must be a list"))).otherwise(_read_items(items, kind)))
-    value = {"int": F.try_variant_get(v, "$[1]", "long"), "bool": F.try_variant_get(v, "$[1]", "boolean"), "bytes": F.try_to_binary(at, F.lit("base64")), "time": F.try_to_timestamp(at)}.get(tag, at).try_cast(kind)
+        return ex.once(_parts(payload), lambda items: F.when(items.isNull(), _result(F.lit(None).cast(kind), F.lit(f"{tag} payload must be a list"))).otherwise(_read_items(items, kind)))
+    at = get("string")
+    value = {"int": get("long"), "bool": get("boolean"), "bytes": F.try_to_binary(at, F.lit("base64")), "time": F.try_to_timestamp(at)}.get(tag, at).try_cast(kind)
     return ex.once(value, lambda x: _result(x, F.when(x.isNull(), F.lit(f"{tag} payload cannot be read"))))
 
 
@@ -137,15 +143,15 @@ def _read_items(items: Column, kind: T.DataType) -> Column:
         return ex.once(F.transform(items, lambda i: _decoded(i, kind.elementType)), lambda parts: _result(F.transform(parts, lambda p: p["value"]), _first_error(parts)))
 
     def pair(p: Column) -> Column:
-        good = (F.size(F.try_variant_get(p, "$", "array<variant>")) == 2) & (F.schema_of_variant(F.try_variant_get(p, "$[0]", "variant")) == "STRING")
-        return F.struct(F.when(F.coalesce(good, F.lit(False)), F.try_variant_get(p, "$[0]", "string")).alias("key"), F.try_variant_get(p, "$[1]", "variant").alias("at"))
+        good = (F.size(p) == 2) & (F.schema_of_variant(F.get(p, F.lit(0))) == "STRING")
+        return F.struct(F.when(F.coalesce(good, F.lit(False)), F.try_variant_get(F.get(p, F.lit(0)), "$", "string")).alias("key"), F.get(p, F.lit(1)).alias("at"))
 
     def keyed(pairs: Column) -> Column:
         keys = F.transform(pairs, lambda p: p["key"])
         wrong = F.when(F.exists(keys, lambda k: k.isNull()), F.lit("a dict entry must be a string key and a typed value")).when(F.size(keys) != F.size(F.array_distinct(keys)), F.lit("duplicate key"))
         return ex.once(wrong, lambda w: F.when(w.isNotNull(), _result(F.lit(None).cast(kind), w)).otherwise(_fields(pairs, kind)))
 
-    return ex.once(F.transform(items, pair), keyed)
+    return ex.once(F.transform(items, lambda p: ex.once(_parts(p), pair)), keyed)
 
 
 def _fields(pairs: Column, kind: T.DataType) -> Column:
@@ -167,16 +173,20 @@ def _decoded(v: Column, kind: T.DataType) -> Column:
     """(value, error) of a tagged variant; the error is null if all of it fits the type."""
     tag, empty = _tag(kind), F.lit(None).cast(kind)
 
-    def judged(head: Column) -> Column:
-        said, size = head["said"], head["size"]
+    def judged(items: Column) -> Column:
+        return ex.once(F.try_variant_get(F.get(items, F.lit(0)), "$", "string"), lambda said: read(items, said))
+
+    def read(items: Column, said: Column) -> Column:
+        size = F.size(items)
         wrong = (
             F.when(size.isNull() | (size < 1) | said.isNull(), F.lit("a typed value must be a list with a tag"))
             .when((said != tag) & ~((said == "null") & (size == 1)), F.concat(F.lit(f"expected {tag}, found "), said))
             .when((said == tag) & (size != 2), F.concat(F.lit("invalid value for tag "), said))
         )
-        return F.when(wrong.isNotNull(), _result(empty, wrong)).when(said == "null", _result(empty, F.lit(None).cast("string"))).otherwise(_read(v, kind))
+        right = F.when(said == "null", _result(empty, F.lit(None).cast("string"))).otherwise(_read(F.get(items, F.lit(1)), kind))
+        return ex.once(wrong, lambda w: F.when(w.isNotNull(), _result(empty, w)).otherwise(right))
 
-    return ex.once(F.struct(F.try_variant_get(v, "$[0]", "string").alias("said"), F.size(F.try_variant_get(v, "$", "array<variant>")).alias("size")), judged)
+    return ex.once(_parts(v), judged)
 
 
 def decode(text: Column, kind: T.DataType, expected_hash: Column | None = None) -> Column:
