@@ -229,7 +229,10 @@ def links(docs: DataFrame, found: DataFrame, sketch: np.ndarray, measure: Measur
     shared = met.groupBy("node", "m_node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     # Other leaders may hold part of what a pair shares, so a third of it is enough here.
     best = shared.where(F.col("c") * 3 >= measure.missing("n", "m")).groupBy("node").agg(F.max(F.struct("c", "m_node")).alias("best"))
-    stars = check(staged(best.select(F.col("node").alias("u"), F.col("best.m_node").alias("v")), "leaders"), "stars")
+    leaders = staged(best.select(F.col("node").alias("u"), F.col("best.m_node").alias("v")), "leaders")
+    stars = check(leaders, "stars")
+    roots = components(stars)
+    discard(leaders, stars)
 
     # Across: nodes of different components in one list. ``h`` is how many crowded lists a node is in.
     # ``s`` is how many of them begin with this one, in the order of shingles: sets that crowded
@@ -241,17 +244,23 @@ def links(docs: DataFrame, found: DataFrame, sketch: np.ndarray, measure: Measur
     discard(posts)
     release_shuffles(spark)
 
-    def still_open(found_links: DataFrame) -> DataFrame:
+    def still_open(roots: DataFrame) -> DataFrame:
         """Lists in which several components meet, with the components."""
-        labelled = counted.join(components(found_links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        labelled = counted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
         return staged(labelled.join(several, "token"), "open-posts")
 
+    def joined_by(roots: DataFrame, more: DataFrame) -> DataFrame:
+        """Components after more links: the stars of those before stand for the links that made them."""
+        after = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+        discard(roots, more)
+        return after
+
     # A crowd may be alike without being like its leader. So each node of a crowded list also
     # tries its neighbour in an order that differs from list to list, TRIES of them per round, as
     # long as that still joins a good part of the components that are left. This decides only how
     # soon links are found: the last step is exact whatever the rounds have left.
-    edges, open_, turn = stars, still_open(stars), 0
+    open_, turn = still_open(roots), 0
     while True:
         turn += 1
         order = Window.partitionBy("token", F.pmod(F.xxhash64("node", F.lit(turn)), "lanes")).orderBy(F.xxhash64("node", "token", F.lit(turn)))
@@ -263,11 +272,14 @@ def links(docs: DataFrame, found: DataFrame, sketch: np.ndarray, measure: Measur
         if not asked:
             break
         joined = check(tried, "neighbour-links")
-        edges = staged(edges.unionByName(joined), "links-so-far")
-        discard(open_)
-        open_ = still_open(edges)
-        if joined.select("u").distinct().count() * 10 < asked:
+        few = joined.select("u").distinct().count() * 10 < asked
+        roots = joined_by(roots, joined)
+        discard(open_, tried)
+        open_ = still_open(roots)
+        release_shuffles(spark)
+        if few:
             break
+    discard(counted)
     member = open_.select("token", "crowded", "root", F.col("node").alias("u"), "n", "pos", "h", "s")
     other = open_.select("token", "crowded", F.col("root").alias("root2"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("h").alias("h2"), F.col("s").alias("s2"))
     fits = measure.possible("n", "pos", "m", "at")
@@ -287,8 +299,11 @@ def links(docs: DataFrame, found: DataFrame, sketch: np.ndarray, measure: Measur
     met = light.select(*columns).unionByName(heavy.select(*columns))
     c = F.count_if(~F.col("crowded")).alias("c")
     pairs = met.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(c, F.first("n").alias("n"), F.first("m").alias("m"), F.first("h").alias("h"), F.first("h2").alias("h2"))
-    more = check(staged(pairs.where(F.col("c") + F.least("h", "h2") >= measure.missing("n", "m")).select("u", "v"), "pairs"), "links")
-    return components(edges.unionByName(more))
+    pairs = staged(pairs.where(F.col("c") + F.least("h", "h2") >= measure.missing("n", "m")).select("u", "v"), "pairs")
+    discard(open_)
+    more = check(pairs, "links")
+    discard(pairs)
+    return joined_by(roots, more)
 
 
 def join(docs: DataFrame, measure: Measure) -> DataFrame:

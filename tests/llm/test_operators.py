@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -335,6 +336,20 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_components_take_no_step_over_stars_and_leave_one_table(spark, monkeypatch):
+    import offerloom.llm.components as module
+
+    written = []
+    monkeypatch.setattr(module, "staged", lambda df, name, put=module.staged: written.append(name) or put(df, name))
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    path = components(spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long"))
+    assert len(set(shared.iterdir()) - before) == 1 and len(written) > 2
+    written.clear()
+    again = components(path.select(path.node.alias("u"), path.root.alias("v")))
+    assert len(written) == 2 and sorted(map(tuple, again.collect())) == [(i, 0) for i in range(21)]
+
+
 # -- search and classifiers --------------------------------------------------------------------------
 
 
