@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A merge is blocked by publications in these states; failed and skipped ones may be retried.
 BLOCKING = ("pending", "published")
+#: Observations behind one task that groups them by offer.
+PART_ROWS = 1 << 20
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -80,12 +82,16 @@ def latest_state(runs: DataFrame, source: str, started: str, key: str, failed: C
 def stale(observations: DataFrame, successes: DataFrame, offer: str, source: str, seen: str, finished: str) -> DataFrame:
     """Offers of which every observation has a later success of the same source.
 
-    The latest success of a source decides, so one row per source joins instead of all runs.
+    The latest success of a source decides, so one row per source joins instead of all runs; it
+    is hashed, so observations need no sort. Offers are counted in parts of about ``PART_ROWS``
+    observations, so the groups that a task holds do not grow with the table; the rows of one
+    offer meet in one task.
     """
-    latest = successes.groupBy(source).agg(F.max(finished).alias("__latest"))
+    latest = successes.groupBy(source).agg(F.max(finished).alias("__latest")).hint("shuffle_hash")
     newer = F.coalesce(F.col("__latest") > F.col(seen), F.lit(False))
-    joined = observations.join(latest, source, "left")
-    return joined.groupBy(offer).agg(F.bool_and(newer).alias("__all"), F.count(F.lit(1)).alias("observations")).where("__all").drop("__all")
+    parts = max(int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-observations.count() // PART_ROWS))
+    joined = observations.join(latest, source, "left").select(offer, newer.alias("__newer")).repartition(parts, offer)
+    return joined.groupBy(offer).agg(F.bool_and("__newer").alias("__all"), F.count(F.lit(1)).alias("observations")).where("__all").drop("__all")
 
 
 def compare_sets(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:

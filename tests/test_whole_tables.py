@@ -1,5 +1,6 @@
 """Queries that must read whole tables."""
 
+from offerloom.operators import warehouse
 from offerloom.plans import catalog
 
 
@@ -21,3 +22,16 @@ def test_claims_of_all_users(spark, tmp_path):
     events(spark, tmp_path, [(i, i * 100, "click") for i in range(5)])
     got = catalog.queries()["claim_outcomes_of_users"](spark, str(tmp_path)).collect()
     assert sorted(r.item_id for r in got) == [0, 100, 200, 300, 400]
+
+
+def test_stale_offers_are_grouped_in_parts_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(warehouse, "PART_ROWS", 10)
+    seen = [(i // 4, i % 3, i % 7) for i in range(200)] + [(None, 0, 1), (None, 0, 2), (60, None, 1), (61, 0, None), (62, 9, 1)]
+    done = [(0, 5), (0, 4), (1, 6), (2, 7), (None, 9)]
+    latest = {0: 5, 1: 6, 2: 7}
+    want = {}
+    for offer, source, at in seen:
+        want.setdefault(offer, []).append(source in latest and at is not None and latest[source] > at)
+    found = warehouse.stale(spark.createDataFrame(seen, "offer int, source int, seen int"), spark.createDataFrame(done, "source int, done int"), "offer", "source", "seen", "done")
+    assert found.rdd.getNumPartitions() == 21  # 205 rows; four shuffle partitions would grow with the table
+    assert {r.offer: r.observations for r in found.collect()} == {k: len(v) for k, v in want.items() if all(v)}
