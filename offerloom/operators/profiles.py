@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import expressions as ex
 from ..functions import fixed
 from ..sources import selectors as css
+from ..sources.html import ROWS_OUT
 
 #: Columns of a profile besides site and profile; all but item_selector may be null.
 FIELDS = [
     "item_selector", "title_selector", "promo_code_selector", "promo_code_attribute", "conditions_selector",
     "valid_until_selector", "link_selector", "reveal_selector", "reveal_code_attribute", "image_selector", "image_attribute",
 ]
-MOST_ITEMS, TEXT_CHARS, TITLE_CHARS = 500, 12_000, 1_000
+TEXT_CHARS, TITLE_CHARS = 12_000, 1_000
 
 
 def _strip(x: Column) -> Column:
@@ -77,8 +79,8 @@ def _items(tree: css.Tree, finder: css.Finder, url: str, p: dict) -> Iterator[di
 
     host = (urlsplit(url).hostname or "").casefold().removeprefix("www.")
     numbered = host in fixed.COUPON_ID_SITES and (p["reveal_code_attribute"] or "").casefold() == "data-coupon-id"
-    for position, node in enumerate(finder.all(p["item_selector"])[:MOST_ITEMS]):
-        text = tree.text(node)[:TEXT_CHARS]
+    for position, node in enumerate(finder.all(p["item_selector"])):
+        text = tree.text(node, most=TEXT_CHARS)
         if not text:
             continue
         promo, reveal = value(node, p["promo_code_selector"], p["promo_code_attribute"]), value(node, p["reveal_selector"], p["reveal_code_attribute"])
@@ -100,7 +102,7 @@ def profile_items(pages: DataFrame, profiles: DataFrame, now: Column) -> DataFra
     ``pages`` has key, site, url and html; ``profiles`` site, profile and :data:`FIELDS`. All profiles of a
     site meet a page at once: its nodes are read once and all selectors run in one sweep. A profile whose
     selector cannot be read, or a page that fails, gives a row with an error. Null pages and cards
-    without text give nothing; at most ``MOST_ITEMS`` cards of a page and profile are read.
+    without text give nothing; all cards of a page are read.
     """
     fields = [F.col(n).cast("string").alias(n) if n in profiles.columns else F.lit(None).cast("string").alias(n) for n in FIELDS]
     known = profiles.where("item_selector IS NOT NULL").groupBy("site").agg(F.sort_array(F.collect_list(F.struct("profile", *fields))).alias("profiles"))
@@ -131,8 +133,8 @@ def profile_items(pages: DataFrame, profiles: DataFrame, now: Column) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, url, html, known in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = [{f.name: row.get(f.name) for f in arrow} for row in read(k, url, html, known)]
-                if rows:
+                found = read(k, url, html, known)
+                while rows := [{f.name: row.get(f.name) for f in arrow} for row in islice(found, ROWS_OUT)]:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     found = joined.mapInArrow(run, whole)

@@ -75,6 +75,20 @@ def test_profile_items(spark):
     assert (second.text, second.promo_code, second.conditions, second.url) == ("Подарок Без кода Go", None, None, "https://b.example/2")
 
 
+def test_pages_with_very_many_cards_are_whole(spark):
+    cards = "".join(f"<li>Скидка {k}<a href='/{k}'>x</a></li>" for k in range(1300))
+    pages = spark.createDataFrame([(1, "s", "https://s.example/", f"<ul>{cards}</ul>"), (2, "s", "https://s.example/", "<ul><li>Скидка</li></ul>")], "key int, site string, url string, html string")
+    profiles = spark.createDataFrame([("s", "p", "li", "a"), ("s", "q", "ul > li", ":scope > a")], "site string, profile string, item_selector string, link_selector string")
+    got = pr.profile_items(pages, profiles, F.lit("2026-01-01").cast("timestamp")).collect()
+    assert sorted((r.key, r.profile, r.position, r.url.rsplit("/", 1)[1]) for r in got) == sorted([(1, p, k, str(k)) for p in "pq" for k in range(1300)] + [(2, p, 0, "") for p in "pq"])
+
+
+def test_first_characters_of_a_text():
+    tree = css.Tree("<p>abc<b>de</b><script>x</script><i>f</i></p>")
+    for most in range(12):
+        assert tree.text(1, most=most) == "abc de f"[:most]
+
+
 def test_revealed_numbers_are_no_codes(spark):
     html = '<div class="c">Скидка<button data-coupon-id="77">Показать</button></div>'
     pages = spark.createDataFrame([(k, h, f"https://{h}/x", html) for k, h in ((1, "www.promko.net"), (2, "other.example"))], "key int, site string, url string, html string")
