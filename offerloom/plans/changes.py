@@ -83,8 +83,9 @@ def codec_round_trip(spark, d):
     kind = made.schema["value"].dataType
     kept = made.withColumn("payload", nested.encode(F.col("value"), kind)).withColumn("payload_hash", nested.payload_hash(F.col("payload")))
     broken = F.when(F.col("o_orderkey") % 3 == 0, F.concat("payload", F.lit(" "))).when(F.col("o_orderkey") % 3 == 1, F.replace("payload", F.lit('["date"'), F.lit('["time"'))).otherwise(F.concat("payload", F.lit(" true")))
-    expected = F.when(F.col("o_orderkey") % 3 == 0, F.col("payload_hash")).otherwise(nested.payload_hash(broken))
-    both = kept.select("o_orderkey", "value", "payload_hash", nested.decode(F.col("payload"), kind, F.col("payload_hash")).alias("back"), nested.decode(broken, kind, expected).alias("damaged"))
+    expected = F.when(F.col("o_orderkey") % 3 == 0, F.col("payload_hash")).otherwise(nested.payload_hash(F.col("broken")))
+    read = nested.with_decoded(kept.withColumn("broken", broken), "back", "payload", kind, F.col("payload_hash"))
+    both = nested.with_decoded(read, "damaged", "broken", kind, expected)
     again = nested.encode(F.col("back.value"), kind)
     return both.select("o_orderkey", "payload_hash", (nested.payload_hash(again) == F.col("payload_hash")).alias("same"), F.col("back.error").alias("error"), F.col("damaged.error").alias("damage"))
 

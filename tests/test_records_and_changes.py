@@ -192,6 +192,48 @@ def test_damaged_payloads(spark, text, kind, error):
     assert df.select(nested.decode(F.col("p"), t)["error"]).first()[0] == error
 
 
+DAMAGES = [
+    lambda t: t + " true", lambda t: " " + t, lambda t: t.replace('["date"', '["time"'), lambda t: t.replace('["int",', '["int", '), lambda t: t.replace('["str","', '["bytes","'), lambda t: t[:-1], lambda t: t.replace('],["', ']],["', 1),
+    lambda t: t.replace('[["a",', '[["b",', 1), lambda t: t.replace('["l",', '["n",'), lambda t: t[:-2] + ',["zz",["null"]]]]', lambda t: t.replace('"]],["z",', '","]],["z",'), lambda t: t.replace("\\u0001", "\\u0002"), lambda t: t.replace("\\u001f", "\\u001F"),
+    lambda t: t.replace('["m",["dict",[', '["m",["dict",[["q",["int",1]],["q",["int",2]],'), lambda t: '["dict",[]]', lambda t: t.replace("]]]", "]]"), lambda t: t.replace("true", '"true"'),
+]
+
+
+def test_payloads_of_many_rows_are_read_as_single_ones(spark):
+    import random
+
+    kind = T.StructType.fromDDL("z string, l array<struct<y:date,x:string>>, b boolean, m map<string,int>, s struct<n:array<int>,e:decimal(4,1)>, f double")
+    day = datetime.date(2026, 1, 2)
+    values = [
+        ("q\"\\\n\x01\x1fё],[\"l\",", [("a", day), ('","]]],["dict"', day)], True, {"b": 1, 'a",["': None}, ([1, 2], decimal.Decimal("1.5")), 0.5), (None, [(None, None), None], None, None, (None, None), None),
+        ("", [], False, {}, ([], None), -0.0), ("x", None, None, {"": 5}, None, 1e22), None, ("]]]", [("", None)], True, {"k": 1, "j": 2}, ([None, 3], decimal.Decimal("0.0")), 3.0),
+    ]
+    values = [v and (v[0], v[1] and [x and (x[1], x[0]) for x in v[1]], *v[2:]) for v in values]
+    made = spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", kind)]))
+    texts = [r[0] for r in made.select(nested.encode(F.col("v"), kind)).collect()]
+    rng = random.Random(3)
+    rows = [*texts, *(f(t) for t in texts for f in DAMAGES), None, "", "{", *(t[:k] + rng.choice(['"', "]", "[", ",", "x", ""]) + t[k + 1 :] for t in texts for k in rng.sample(range(len(t)), min(len(t), 40)))]
+    df = spark.createDataFrame([(k, t, k % 7 == 6) for k, t in enumerate(rows)], "k int, p string, other boolean").repartition(4)
+    expected = nested.payload_hash(F.when(F.col("other"), F.lit("other")).otherwise(F.col("p")))
+    many = nested.with_decoded(df, "r", "p", kind, expected)
+    assert many.columns == ["k", "p", "other", "r"]
+    single = df.select("k", nested.decode(F.col("p"), kind, expected).alias("r"))
+    show = lambda d: sorted((r.k, r.r.error, repr(r.r.value)) for r in d.select("k", "r").collect())
+    found, want = show(many), show(single)
+    assert [(a, b, rows[a[0]]) for a, b in zip(found, want) if a != b] == [] and [x[1] for x in want[: len(texts)]] == [None] * len(texts)
+    assert len({x[1] for x in want}) >= 9
+
+
+def test_right_payloads_are_not_walked(spark, monkeypatch):
+    kind = T.StructType.fromDDL("a int, l array<struct<x:int,y:date>>, m map<string,boolean>, t string")
+    made = spark.createDataFrame([((5, [(1, datetime.date(2026, 1, 2))], {"k": True}, "a\nb"),)], T.StructType([T.StructField("v", kind)]))
+    text = made.select(nested.encode(F.col("v"), kind)).first()[0]
+    monkeypatch.setattr(nested, "decode", lambda text, kind, expected_hash=None: F.struct(F.lit(None).cast(kind).alias("value"), F.concat(F.lit("walked "), text).alias("error")))
+    df = spark.createDataFrame([(text,), (text.replace('["int",5]', '["str","5"]'),)], "p string")
+    got = [r.r.error for r in nested.with_decoded(df, "r", "p", kind).collect()]
+    assert got == [None, 'walked ["dict",[["a",["str","5"]],["l",["null"]],["m",["null"]],["t",["null"]]]]']
+
+
 def test_floats_are_spelled_as_python_does(spark):
     import random
 
