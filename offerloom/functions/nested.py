@@ -344,17 +344,19 @@ def with_decoded(df: DataFrame, out: str, text: str, kind: T.DataType, expected_
     df = add(df, "guess", {n: _guess(x, kind[n].dataType) for n, x in every("text").items()})
     df = add(df, "right", {n: encode(x, kind[n].dataType).eqNullSafe(col("text", n)) for n, x in every("guess").items()})
     df = add(df, "whole", {"": F.coalesce(whole([*every("text").values()]) == col("seen"), F.lit(False))})
-    good = (col("whole") & (col("rest") == "")) & F.forall(F.array(*every("right").values()), lambda r: r)
-    df = add(df, "good", {"": F.coalesce(good, F.lit(False))})
+    settled = col("whole")  # all fields are right; a rest behind them is what the parser does not reach
+    for r in every("right").values():
+        settled = settled & r
+    df = add(df, "settled", {"": settled})
     # The other texts must be one JSON value each, or what stands behind them could belong to them.
     parts = [F.when(col("right", n), F.lit('["null"]')).when(F.to_json(F.try_parse_json(x)) == x, x) for n, x in every("text").items()]
-    df = add(df, "short", {"": F.when(col("whole") & ~col("good"), whole(parts))})
-    df = add(df, "slow", {"": F.when(~col("good") & ~col("differs"), decode(F.coalesce(col("short"), col("seen")), kind))})
+    df = add(df, "short", {"": F.when(col("whole") & ~col("settled"), whole(parts))})
+    df = add(df, "slow", {"": F.when(~col("settled") & ~col("differs"), decode(F.coalesce(col("short"), col("seen")), kind))})
     value = F.struct(*[F.when(col("right", n), col("guess", n)).otherwise(col("slow")["value"][n]).alias(n) for n in kind.fieldNames()])
     slow = _result_of(F.when(col("short").isNull(), col("slow")["value"]).otherwise(value), col("slow")["error"])
-    fast = _result_of(F.struct(*[col("guess", n).alias(n) for n in kind.fieldNames()]), F.lit(None).cast("string"))
+    fast = _result_of(F.struct(*[col("guess", n).alias(n) for n in kind.fieldNames()]), F.when(col("rest") != "", F.lit("not in canonical form")))
     wrong = _result_of(F.lit(None).cast(kind), F.lit("hash differs"))
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.when(col("differs"), wrong).when(col("good"), fast).otherwise(slow).alias(out))
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.when(col("differs"), wrong).when(col("settled"), fast).otherwise(slow).alias(out))
 
 
 SECRET_KEY = r"(?i)^(?:token|.*[_-]token|api[_-]?(?:key|hash)|x-api-key|password|passwd|.*[_-]password|secret|session|authorization|proxy-authorization|cookie|set-cookie)$"
